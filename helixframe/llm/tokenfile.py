@@ -10,8 +10,8 @@ decoded by itself.
 Shard layout, little-endian: ``b"RPGS"``, u32 version, u32 documents, u32
 rules, u64 compressed ids, u32 first nonterminal; i64 doc_id of each document;
 u32 ids of each document; u32 compressed ids of each document; the rules as
-pairs of u32; u32 expansion length of each rule; the compressed ids as u32, all
-of it but the first seven fields deflated.
+pairs of u32; u32 expansion length of each rule; the compressed ids as u32
+in byte planes; all after the first nonterminal compressed by Zstandard.
 
 A doc_id may be null or repeated: nulls come first, equal ones stand in the
 order of their ids.  A null text is an empty document: the end id alone.
@@ -19,12 +19,14 @@ order of their ids.  A null text is an empty document: the end id alone.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,29 +37,39 @@ from .scratch import Scratch, shuffle_width
 #: A shard is closed when it holds so many ids (or one document, if longer).
 SHARD_IDS = 1 << 20
 #: Pairs are replaced from this count in a shard on, in so many rounds at most.
-LEAST_COUNT, ROUNDS, RULES_A_ROUND = 24, 4, 2048
+LEAST_COUNT, ROUNDS, RULES_A_ROUND = 24, 3, 4096
 HEAD = struct.Struct("<4sIIIQI")
 NULL_ID = -(1 << 63)
 
 
 class WordTokenizer:
-    """A tokenizers-library model with a memo of white-space-separated words.
+    """A tokenizers-library model with a memo of words.
 
-    Only for tokenizers that drop white space before they split: a word's ids
-    are then the same in any text.
+    Only for tokenizers that lower-case, drop white space and split between
+    letters and other characters: a word's ids are then the same in any text
+    and case, and a blank between a letter and a mark after it changes nothing.
     """
 
-    ENTRIES, BYTES = 200_000, 64
+    MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+
+    ENTRIES, BYTES = 400_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as text:
             self.model = Tokenizer.from_str(text.read())
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.memo = Memo(self.ENTRIES)
 
+    def words(self, text: bytes) -> list[bytes]:
+        lower = text.lower()  # A-Z alone; unless that makes up an added token
+        if any(lower.count(token) != text.count(token) for token in self.special):
+            return text.split()
+        return (lower if any(token in lower for token in self.special) else self.MARK.sub(b" ", lower)).split()
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words, memo = [text.split() for text in texts], self.memo
+        words, memo = [self.words(text) for text in texts], self.memo
         fresh: dict[bytes, bytes] = {}
         missing = {word for own in words for word in own} - memo.young.keys()
         for word in missing:
@@ -178,7 +190,7 @@ def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> by
     narrow = [x.astype("<u4").tobytes() for x in (lengths, own, rules, expansion)]
     planes = sequence.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if len(sequence) else b""
     body = b"".join([doc_ids.astype("<i8").tobytes(), *narrow, planes])
-    return head + zlib.compress(body, 1)
+    return head + zstandard.ZstdCompressor(level=1).compress(body)
 
 
 class Shard:
@@ -188,7 +200,7 @@ class Shard:
         magic, version, docs, rules, size, self.first = HEAD.unpack_from(blob)
         if magic != b"RPGS" or version != 1:
             raise ValueError("not a token shard")
-        body = zlib.decompress(blob[HEAD.size :])
+        body = zstandard.ZstdDecompressor().decompress(blob[HEAD.size :])
         self.doc_ids = np.frombuffer(body, "<i8", docs)
         at = 8 * docs
         self.lengths = np.frombuffer(body, "<u4", docs, at).astype(np.int64)
