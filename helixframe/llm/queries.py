@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, tokenfile, warc
+from . import ann, bpe, jaccard, mixing, tokenfile, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +16,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_read(spark, sf_dir, "documents", "doc_id", "text"), percent=75, k=5)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +38,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,8 +49,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_mix_sources": op2_mix_sources, "op4_token_files": op4_token_files, "op6_warc": op6_warc, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_mix_sources": op2_mix_sources, "op3_exact_top_k": op3_exact_top_k, "op4_token_files": op4_token_files, "op6_warc": op6_warc, "op9_ann": op9_ann, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.REPORT_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
+    return {"op2_mix_sources": mixing.REPORT_SQL, "op3_exact_top_k": topk.TOP_K_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
