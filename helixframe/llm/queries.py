@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, tokenfile, topk, warc
+from . import ann, bpe, jaccard, langid, licenses, mixing, quality, tokenfile, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +34,25 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host, the part of the source in its language the path."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    told = quality.scored(docs, _read(spark, sf_dir, "labels", "doc_id", "quality"), F.col("source"), F.col("lang"))
+    return told.select("doc_id", "p_document", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= quality.KEEP).alias("keep"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
 
@@ -49,8 +64,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op2_mix_sources": op2_mix_sources, "op3_exact_top_k": op3_exact_top_k, "op4_token_files": op4_token_files, "op6_warc": op6_warc, "op9_ann": op9_ann, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_mix_sources": op2_mix_sources, "op3_exact_top_k": op3_exact_top_k, "op4_token_files": op4_token_files, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_language": op7_language, "op8_licenses": op8_licenses, "op9_ann": op9_ann, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.REPORT_SQL, "op3_exact_top_k": topk.TOP_K_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
+    return {"op2_mix_sources": mixing.REPORT_SQL, "op3_exact_top_k": topk.TOP_K_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op8_licenses": licenses.scan_sql()}
