@@ -73,6 +73,11 @@ def hitting_words(rows: list[tuple[str, int, list[str]]]) -> list[str]:
     return chosen
 
 
+def once(value: Column) -> Column:
+    """The same value, as a generated column: the optimizer doesn't copy it into the lambdas that use it."""
+    return F.explode(F.array(value))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, containment: every license of which a window of the text holds a template.
 
@@ -85,9 +90,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, contained
     every = sorted({s for _, _, own in rows for s in own})
     screen = "|".join(re.escape(w) for w in hitting_words(rows))
     kept = docs.select("doc_id", F.lower("text").alias("_text")).filter(F.col("_text").rlike(screen))
-    words = kept.select("doc_id", F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1)).alias("w"))
+    words = kept.select("doc_id", once(F.regexp_extract_all("_text", F.lit(f"({WORD})"), F.lit(1))).alias("w"))
     made = F.transform(F.sequence(F.lit(1), F.size("w") - K + 1), lambda i: F.array_join(F.slice("w", i, K), " "))
-    sets = words.filter(F.size("w") >= K).select("doc_id", made.alias("s")).filter(F.arrays_overlap("s", F.array(*map(F.lit, every))))
+    sets = words.filter(F.size("w") >= K).select("doc_id", once(made).alias("s")).filter(F.arrays_overlap("s", F.array(*map(F.lit, every))))
     # Window sizes: 2L for templates of up to L shingles, L a power of two; steps of L.
     sizes = sorted({1 << (len(own) - 1).bit_length() for _, _, own in rows})
 
@@ -96,7 +101,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, contained
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * size + 1).alias("at"), F.lit(size).alias("size")))
 
     starts = F.flatten(F.array(*map(windows_of, sizes)))
-    cut = sets.select("doc_id", "s", F.explode(starts).alias("v")).select("doc_id", F.col("v.size").alias("size"), F.array_distinct(F.slice("s", F.col("v.at"), 2 * F.col("v.size"))).alias("window"))
+    cut = sets.select("doc_id", "s", F.explode(starts).alias("v")).select("doc_id", F.col("v.size").alias("size"), once(F.array_distinct(F.slice("s", F.col("v.at"), 2 * F.col("v.size")))).alias("window"))
     cut = cut.filter(F.arrays_overlap("window", F.array(*map(F.lit, every))))
     minima = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform("window", lambda s: F.xxhash64(s, b))).alias("least")))
     banded = cut.select("doc_id", "size", "window", F.explode(minima).alias("m")).select("doc_id", "size", "window", "m.band", "m.least")
