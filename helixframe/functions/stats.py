@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -19,7 +20,11 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(q for x in range(max(0, row + column - total), min(row, column) + 1) if (q := p(x)) <= observed * (1 + 1e-7)))
 
 
-@F.pandas_udf("double")
-def fisher_two_tailed(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+def fisher_two_tailed(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-tailed p of Fisher's exact test of a 2 x 2 table."""
-    return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype=float)
+
+    return run(a, b, c, d)
