@@ -12,7 +12,9 @@ passages, which then get none.  Candidates are verified on the whole sets.
 The result asks for components, so a bucket of many sets is linked as a star,
 first within a map task, then over the corpus.  A star's failures are then
 searched again against all that share a bucket with them, unless both are
-already in one component, so that no link between components is lost.
+already in one component, so that no link between components is lost.  Counts
+of fingerprints in ranges bound an intersection from above; only pairs that
+pass this bound carry their whole sets.
 
 Sets hold 64-bit fingerprints of shingles: two different shingles of one pair
 of texts fall together with a probability of about 1e-13.
@@ -33,14 +35,16 @@ from .scratch import Scratch, shuffle_width
 from .shingles import U, digests, mixed, shingle_sets
 
 #: Cells of the sketch of fingerprint counts, as a power of two, and cells in a row of it.
-SKETCH_BITS, SKETCH_ROW = 16, 1024
+SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
+#: Buckets of up to so many entries give all their pairs, larger ones a star.
+SMALL = 12
 #: From this many segments on, only one in so many has deletion neighbourhoods.
 ALL_DELETIONS, SOME_DELETIONS = 48, 8
 #: Ids up to this number are broadcast as a filter of the texts; more are joined.
 BROADCAST_IDS = 400_000
 #: Cost of a segment without elements, which any set may share.
 EMPTY = 1e18
-DELETION, PROBE, SALTS = 1, 2, 64
+DELETION, PROBE, HEAD, SALTS = 1, 2, 4, 64
 
 
 def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -164,11 +168,13 @@ def signatures(bands: Bands, sizes: np.ndarray, sets: np.ndarray, sketch: np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def stars(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries sorted by key: the smallest undeleted id of every bucket, paired with the others.
+def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of the entries that share a key, as rows (a < b, whether from a star).
 
-    Returns (order, whether an entry stands for its bucket or is alone, pairs).
-    Buckets without a probe, or of deletions alone, make no pairs.
+    A bucket of up to ``small`` entries gives all pairs with a probe, but for two
+    deletions; a larger one, or one with a head of a star, pairs its smallest
+    undeleted id with all others.  Returns (order by key, number of entries in
+    each one's bucket, pairs).
     """
     order = np.lexsort((ids, flags & DELETION, keys))
     keys, flags, ids = keys[order], flags[order], ids[order]
@@ -176,16 +182,27 @@ def stars(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     head[1:] = keys[1:] != keys[:-1]
     bucket = np.cumsum(head) - 1
     heads = np.flatnonzero(head)
+    size = np.bincount(bucket)
+    star = (size > small) | (np.bincount(bucket, weights=flags & HEAD) > 0)
     probed = np.bincount(bucket, weights=flags & PROBE) > 0
-    useful = probed & (flags[heads] & DELETION == 0)
-    member = ~head & useful[bucket]
-    pairs = np.stack([ids[heads][bucket[member]], ids[member]], axis=1)
+    out = []
+    member = ~head & (star & probed & (flags[heads] & DELETION == 0))[bucket]
+    out.append(np.stack([ids[heads][bucket[member]], ids[member], np.ones(int(member.sum()), np.int64)], axis=1))
+    plain = np.flatnonzero((~star & (size > 1) & probed)[bucket])
+    for step in range(1, small):
+        x, y = plain[:-step], plain[step:]
+        met = (bucket[x] == bucket[y]) & ((flags[x] | flags[y]) & PROBE != 0) & (flags[x] & flags[y] & DELETION == 0)
+        if not met.any():
+            break
+        out.append(np.stack([ids[x[met]], ids[y[met]], np.zeros(int(met.sum()), np.int64)], axis=1))
+    pairs = np.concatenate(out)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return order, ~member, np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+    pairs = np.column_stack([pairs[:, :2].min(1), pairs[:, :2].max(1), pairs[:, 2]])
+    return order, size[bucket], np.unique(pairs, axis=0)
 
 
 def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: the star pairs of all buckets; a document may stand in several."""
+    """a, b, star: the pairs of all buckets; a pair may come from several."""
     parts = shuffle_width(docs.sparkSession)
     bands = Bands(percent)
     kind = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("flags", pa.binary()), ("place", pa.binary()), ("ids", pa.binary())])
@@ -198,13 +215,24 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
                 keys, flags, rows = signatures(bands, sizes, sets, sketch)
                 ids = doc_ids[at:to]
-                order, alone, pairs = stars(keys, flags, ids[rows])
-                # A bucket that is linked as a star goes on as its head, which asks for all of it.
-                kept = order[alone]
-                keys, flags, rows = keys[kept], flags[kept].astype(np.uint8), rows[kept]
-                if len(pairs):
-                    linked = np.isin(ids[rows], np.unique(pairs[:, 0]))
-                    flags = np.where(linked & (flags & DELETION == 0), flags | PROBE, flags).astype(np.uint8)
+                # A bucket that is large in this step is linked here and goes on as its head alone.
+                order = np.argsort(keys, kind="stable")
+                again = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+                pairs = np.zeros((0, 3), np.int64)
+                if len(again) >= SMALL:
+                    own, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+                    large = np.flatnonzero((count > SMALL)[place])
+                    if len(large):
+                        by, _, pairs = bucket_pairs(keys[large], flags[large], ids[rows[large]])
+                        first = np.ones(len(large), bool)
+                        first[1:] = keys[large[by]][1:] != keys[large[by]][:-1]
+                        undeleted = flags[large[by]] & DELETION == 0
+                        headed = np.repeat(undeleted[first], np.diff(np.append(np.flatnonzero(first), len(first))))
+                        flags[large[by][first & undeleted]] |= HEAD | PROBE
+                        keep = np.ones(len(keys), bool)
+                        keep[large[by][~first & headed]] = False
+                        keys, flags, rows = keys[keep], flags[keep], rows[keep]
+                flags = flags.astype(np.uint8)
                 part = (keys % U(parts)).astype(np.int32)
                 by = np.argsort(part, kind="stable")
                 keys, flags, rows = keys[by], flags[by], rows[by].astype(np.uint32)
@@ -226,7 +254,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         current = None
 
         def out(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], ["a", "b", "star"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -239,7 +267,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 if len(again):
                     place[place == len(again)] = 0
                     kept = again[place] == keys
-                    yield out(stars(keys[kept], flags[kept].astype(np.int64), ids[kept])[2])
+                    yield out(bucket_pairs(keys[kept], flags[kept].astype(np.int64), ids[kept])[2])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -248,7 +276,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                     current = row["part"]
                 ids = np.frombuffer(row["ids"], np.int64)
                 if not row["keys"]:
-                    yield out(ids.reshape(-1, 2))
+                    yield out(ids.reshape(-1, 3))
                     continue
                 keys = np.frombuffer(row["keys"], U)
                 narrow = np.uint16 if len(row["place"]) == 2 * len(keys) else np.uint32
@@ -256,7 +284,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         yield from flush()
 
     dealt = docs.mapInArrow(index, "part int, keys binary, flags binary, place binary, ids binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, star boolean")
 
 
 def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -265,6 +293,42 @@ def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "doc_id", "left_semi")
 
 
+def counts_of(fingerprints: np.ndarray) -> bytes:
+    """How many elements fall in each of 2^k equal ranges of fingerprints, 1 to 2 on average; empty if one has over 255."""
+    cells = 1 << max(3, int(len(fingerprints) - 1).bit_length() - 1)
+    counts = np.bincount((fingerprints >> U(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_link(n: int, m: int, x: bytes, y: bytes, percent: int) -> bool:
+    """Whether sizes and range counts leave the similarity possible: no intersection is over the sum of minima."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) != len(b):
+        few = min(len(a), len(b))
+        a, b = (c.reshape(few, -1).sum(1, dtype=np.int64) for c in (a, b))
+    bound = int(np.minimum(a, b).sum(dtype=np.int64))
+    return 100 * bound >= percent * (n + m - bound)
+
+
+def likely(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, ...) with a column ``may``: whether outlines (id, n, counts) leave a link possible."""
+    kept = pairs.columns
+    schema = pairs.schema.add("may", "boolean")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([may_link(*row, percent) for row in rows], pa.bool_())], [*kept, "may"])
+
+    first = outlines.select(F.col("id").alias("a"), "n", F.col("counts").alias("x"))
+    second = outlines.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select(*kept, "n", "m", "x", "y").mapInArrow(run, schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked for ``pairs`` (a, b), by the whole sets (id, set)."""
 
@@ -279,13 +343,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * common >= percent * (len(merged) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    # Sizes first: pairs too unlike in size never carry their sets.
-    size = sets.select(F.col("id").alias("a"), F.length("set").alias("n"))
-    close = pairs.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("n").alias("m")), "b")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    near = close.filter(fits).select("a", "b")
-    told = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
-    return told.unionByName(close.filter(~fits).select("a", "b", F.lit(False).alias("linked")))
+    own = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    other = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def _with_sets(k: int, outline: bool):
+    """(id, set) or (id, n, counts) of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, ends = layout(batch.column("text"))
+            for at, to in steps(ends):
+                sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
+                cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
+                own = [sets[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+                ids = batch.column("doc_id").slice(at, to - at)
+                if outline:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([counts_of(x) for x in own], pa.binary())], ["id", "n", "counts"])
+                else:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in own], pa.binary())], ["id", "set"])
+
+    return run
 
 
 def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -326,12 +405,12 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
             total += np.frombuffer(blob.as_py(), np.int64)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    # 64 rows of a fixed sketch: half a megabyte at any size of the corpus.
+    # 64 rows of a fixed sketch: 8 MB at any size of the corpus.
     cells = np.zeros(1 << SKETCH_BITS)
     for row in first.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(summed, "block int, counts binary").collect():
         cells[row["block"] * SKETCH_ROW : (row["block"] + 1) * SKETCH_ROW] = np.frombuffer(row["counts"], np.int64)
     usual = float(np.median(cells))
-    sketch = np.maximum(0.0, cells - usual - 4 * np.sqrt(usual + 1))
+    sketch = np.maximum(0.0, cells - usual - 4 * np.sqrt(usual + 1)).astype(np.float32)
 
     meta = first.filter("block is null")
     real = meta.filter("n_shingles > 0 and doc_id is not null")
@@ -343,37 +422,37 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         """Pairs between representatives of equal sets, each once."""
         for side in ("a", "b"):
             pairs = pairs.join(rep_of.select(F.col("id").alias(side), F.col("rep").alias("_rep")), side, "left").withColumn(side, F.coalesce("_rep", side)).drop("_rep")
-        return pairs.filter("a <> b").select("a", "b").distinct()
+        least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        return pairs.filter("a <> b").select(least, most, "star").groupBy("a", "b").agg(F.max("star").alias("star"))
 
     texts = docs.filter("doc_id is not null")
-    raw_pairs = scratch.table(candidate_pairs(texts, percent, k, sketch).distinct(), "raw_pairs")
-    pairs = scratch.table(of_reps(raw_pairs), "pairs")
+    raw_pairs = candidate_pairs(texts, percent, k, sketch)
+    pairs = scratch.table(of_reps(scratch.table(raw_pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "raw_pairs")), "pairs")
     nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-
-    def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, ends = layout(batch.column("text"))
-            for at, to in steps(ends):
-                sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
-                cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
-                blobs = [sets[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(blobs, pa.binary())], ["id", "set"])
-
-    sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(with_sets, "id long, set binary"), "sets")
+    outlines = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
+    told = scratch.table(likely(pairs, outlines, percent), "likely")
+    may = told.filter("may").select("a", "b", "star")
+    nodes = scratch.table(may.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes-2")
+    sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
     # One pair for a document first; of the others only what is still apart.
-    lead = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    told = scratch.table(verified(lead, sets, percent), "told-1")
-    links = told.filter("linked").select("a", "b")
+    lead = may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = scratch.table(verified(lead, sets, percent), "told-1")
+    links = first.filter("linked").select("a", "b")
     parts = scratch.table(components(links, scratch, "first"), "parts-1")
-    tried = told.select("a", "b")
-    apart = _apart(pairs.join(tried, ["a", "b"], "left_anti"), parts)
+    apart = _apart(may.join(first.select("a", "b"), ["a", "b"], "left_anti"), parts)
     more = scratch.table(verified(apart, sets, percent), "told-2")
     links = links.unionByName(more.filter("linked").select("a", "b"))
-    failed = told.unionByName(more).filter("not linked")
+    # Of a large bucket, the members that its head has no link to are searched against the others.
+    failed = told.filter("star and not may").select("a", "b").unionByName(
+        first.unionByName(more).filter("not linked").select("a", "b").join(told.filter("star").select("a", "b"), ["a", "b"], "left_semi")
+    )
+    failed = scratch.table(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
     if not failed.isEmpty():
         parts = scratch.table(components(links, scratch, "second"), "parts-2")
-        again = scratch.table(_shared(sets, failed.select(F.col("b").alias("id")).distinct(), percent, sketch), "again")
-        again = _apart(again.join(told.unionByName(more).select("a", "b"), ["a", "b"], "left_anti"), parts)
+        again = _apart(_shared(texts, outlines.select("id"), failed, percent, k, sketch), parts).join(told.select("a", "b"), ["a", "b"], "left_anti")
+        again = scratch.table(likely(again, outlines, percent), "again").filter("may").select("a", "b")
+        nodes = scratch.table(again.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes-3")
+        sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets-2")
         last = scratch.table(verified(again, sets, percent), "told-3")
         links = links.unionByName(last.filter("linked").select("a", "b"))
     found = scratch.table(components(links, scratch, "last"), "parts-3")
@@ -381,7 +460,7 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     # Rows that share a doc_id share its component.
     named = named.withColumn("component_id", F.min("component_id").over(Window.partitionBy("doc_id")))
     lone = meta.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    scratch.drop("raw_pairs", "pairs", "nodes", "sets", "parts-1", "parts-2", "told-1", "told-2", "told-3", "again")
+    scratch.drop("raw_pairs", "pairs", "nodes", "nodes-2", "nodes-3", "outlines", "likely", "sets", "sets-2", "parts-1", "parts-2", "told-1", "told-2", "told-3", "failed", "again")
     return named.unionByName(lone)
 
 
@@ -392,23 +471,24 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _shared(sets: DataFrame, failed: DataFrame, percent: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: every ``failed`` set (id) with all sets that share one of its buckets."""
+def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
+    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets."""
     bands = Bands(percent)
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.frombuffer(x.as_py(), U) for x in batch.column("set")]
-            sizes = np.array([len(x) for x in blobs], np.int64)
-            keys, flags, rows = signatures(bands, sizes, np.concatenate(blobs) if blobs else np.zeros(0, U), sketch)
-            ids = batch.column("id").to_numpy()[rows]
-            for at in range(0, len(keys), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(keys[cut].view(np.int64)), pa.array(flags[cut].astype(np.int32))], ["id", "key", "flag"])
+            raw, ends = layout(batch.column("text"))
+            for at, to in steps(ends):
+                sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
+                keys, flags, rows = signatures(bands, sizes, sets, sketch)
+                ids = batch.column("doc_id").to_numpy()[at:to][rows]
+                for start in range(0, len(keys), 1 << 16):
+                    cut = slice(start, start + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(keys[cut].view(np.int64)), pa.array(flags[cut].astype(np.int32))], ["id", "key", "flag"])
 
     kind = "id long, key long, flag int"
-    asking = sets.join(failed, "id", "left_semi").mapInArrow(keyed, kind)
-    given = sets.mapInArrow(keyed, kind).join(asking.select("key").distinct(), "key", "left_semi")
+    asking = chosen_texts(texts, failed).mapInArrow(keyed, kind)
+    given = chosen_texts(texts, nodes).mapInArrow(keyed, kind)
     x, y = asking.alias("x"), given.alias("y")
     usable = F.expr(f"(x.flag | y.flag) & {PROBE} <> 0 AND x.flag & y.flag & {DELETION} = 0")
     met = x.join(y, F.col("x.key") == F.col("y.key")).filter(usable & (F.col("x.id") != F.col("y.id")))
