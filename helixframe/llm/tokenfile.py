@@ -35,9 +35,9 @@ from .bpe import Memo
 from .scratch import Scratch, shuffle_width
 
 #: A shard is closed when it holds so many ids (or one document, if longer).
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 #: Pairs are replaced from this count in a shard on, in so many rounds at most.
-LEAST_COUNT, ROUNDS, RULES_A_ROUND = 24, 3, 4096
+LEAST_COUNT, ROUNDS, RULES_A_ROUND = 16, 2, 4096
 HEAD = struct.Struct("<4sIIIQI")
 NULL_ID = -(1 << 63)
 
@@ -288,7 +288,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Shard rows of a folder with ``base``: ids in all shards before this one."""
     shards = spark.read.schema("part int, seq int, first_doc long, docs long, ids long, shard binary").parquet(path)
-    # One row for a shard of a million ids, without the shard itself: small at any size.
+    # One row for a shard of a quarter of a million ids, without the shard itself: small at any size.
     bases = shards.select("part", "seq", "ids").withColumn("base", F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
     return shards.drop("ids").join(bases.select("part", "seq", F.coalesce("base", F.lit(0)).alias("base")), ["part", "seq"])
 
