@@ -449,7 +449,7 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     failed = scratch.table(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
     if not failed.isEmpty():
         parts = scratch.table(components(links, scratch, "second"), "parts-2")
-        again = _apart(_shared(texts, outlines.select("id"), failed, percent, k, sketch), parts).join(told.select("a", "b"), ["a", "b"], "left_anti")
+        again = _shared(texts, outlines.select("id"), failed, parts, percent, k, sketch).join(told.select("a", "b"), ["a", "b"], "left_anti")
         again = scratch.table(likely(again, outlines, percent), "again").filter("may").select("a", "b")
         nodes = scratch.table(again.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes-3")
         sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets-2")
@@ -471,8 +471,8 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets."""
+def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, parts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
+    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets and are in another component of ``parts``."""
     bands = Bands(percent)
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,9 +487,15 @@ def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, percent: int,
                     yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(keys[cut].view(np.int64)), pa.array(flags[cut].astype(np.int32))], ["id", "key", "flag"])
 
     kind = "id long, key long, flag int"
-    asking = chosen_texts(texts, failed).mapInArrow(keyed, kind)
-    given = chosen_texts(texts, nodes).mapInArrow(keyed, kind)
+
+    def placed(entries: DataFrame) -> DataFrame:
+        of = parts.select(F.col("node").alias("id"), "component")
+        return entries.join(of, "id", "left").select("id", "key", "flag", F.coalesce("component", "id").alias("part"))
+
+    # Components go into the join, so members of one component make no pairs in a large bucket.
+    asking = placed(chosen_texts(texts, failed).mapInArrow(keyed, kind))
+    given = placed(chosen_texts(texts, nodes).mapInArrow(keyed, kind))
     x, y = asking.alias("x"), given.alias("y")
     usable = F.expr(f"(x.flag | y.flag) & {PROBE} <> 0 AND x.flag & y.flag & {DELETION} = 0")
-    met = x.join(y, F.col("x.key") == F.col("y.key")).filter(usable & (F.col("x.id") != F.col("y.id")))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & usable)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
