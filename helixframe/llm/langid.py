@@ -206,7 +206,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", "held_out", "_told.lang_pred", "_told.score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Rows of ``docs`` whose language is told with a score of ``least`` or more, columns unchanged."""
+def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Rows of ``docs`` with a language (not ``und``) and a score of ``least`` or more, columns unchanged."""
     told = docs.withColumn("_told", identify(fit(docs)))
     return told.filter((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= least)).select(*docs.columns)
