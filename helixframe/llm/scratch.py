@@ -6,7 +6,9 @@ and live below ``spark.checkpoint.dir``, which driver and executors share.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,9 @@ class Scratch:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back under its own schema."""
-        df.write.mode("overwrite").parquet(self.at(name))
+        df.write.mode("overwrite").parquet(self.at(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:
@@ -44,6 +46,13 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.at(name))
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished jobs whose DataFrames are gone."""
+        for _ in range(2):  # what the first round frees may hold what the second one does
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
+
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

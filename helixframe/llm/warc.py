@@ -23,6 +23,17 @@ LEAST_BYTES = 1000
 #: Payload bytes that one archive file should hold before compression.
 FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
+#: What names a stored payload: page_id with null told apart, and the binary digest.
+KEY = ["id", "no_id", "digest"]
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    """``df`` (page_id, digest, ...) with the columns of KEY, none of them null."""
+    return df.withColumn("id", F.coalesce("page_id", F.lit(0))).withColumn("no_id", F.col("page_id").isNull())
+
+
+def _digest(payload: Column) -> Column:
+    return F.unhex(F.sha1(payload.cast("binary")))
 
 
 def header(kind: Column, page_id: Column, url: Column, length: Column, digest: Column, refers_to: Column) -> Column:
@@ -49,8 +60,8 @@ def header(kind: Column, page_id: Column, url: Column, length: Column, digest: C
 def store(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads) of ``pages`` (page_id, url, html), both written.
 
-    headers: page_id, digest, header, record_type, refers_to, one row a page.
-    payloads: page_id, digest, payload, of response records only.  Of equal
+    headers: page_id, digest, bytes, record_type, refers_to, header, one row a page.
+    payloads: KEY, payload, of response records only.  Of equal
     payloads of LEAST_BYTES or more the row with the largest page_id is the
     response; if that id is repeated, the rows with it all are.  Equal means
     equal SHA-256 and length; the SHA-1 is what the WARC digest field shows.
@@ -58,7 +69,7 @@ def store(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(
-        "page_id", "url", F.sha2(payload, 256).alias("strong"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
+        "page_id", "url", F.unhex(F.sha2(payload, 256)).alias("strong"), _digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
     )
     keyed = scratch.table(keyed, "keyed")
     large = F.col("bytes") >= LEAST_BYTES
@@ -69,25 +80,26 @@ def store(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         "page_id", "url", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to")
     )
     length = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("bytes"))
-    head = header(F.col("record_type"), F.col("page_id"), F.col("url"), length, F.col("digest"), F.col("refers_to"))
+    head = header(F.col("record_type"), F.col("page_id"), F.col("url"), length, F.lower(F.hex("digest")), F.col("refers_to"))
     headers = scratch.table(kinds.select("page_id", "digest", "bytes", "record_type", "refers_to", head.alias("header")), "headers")
-    stored = headers.filter("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).distinct()
-    kept = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), payload.alias("payload"))
-    payloads = kept.join(stored, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left_semi")
-    return headers, scratch.table(payloads.dropDuplicates(["page_id", "digest"]), "payloads")
+    stored = with_key(headers.filter("record_type = 'response'")).select(*KEY).distinct()
+    kept = with_key(pages.select("page_id", _digest(payload).alias("digest"), payload.alias("payload"))).select(*KEY, "payload")
+    scratch.drop("keyed")
+    return headers, scratch.table(kept.join(stored, KEY, "left_semi").dropDuplicates(KEY), "payloads", compression="zstd")
 
 
 def write_archives(headers: DataFrame, payloads: DataFrame, path: str) -> None:
     """Reconstruct every record by a join and write gzipped archive files."""
     spark = headers.sparkSession
     size = headers.filter("record_type = 'response'").agg(F.sum("bytes")).first()[0] or 0
-    found = payloads.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "payload", F.lit("response").alias("_type"))
-    on = headers.page_id.eqNullSafe(F.col("_page")) & (headers.digest == F.col("_digest")) & (headers.record_type == F.col("_type"))
-    record = F.concat(F.col("header"), F.lit(END), F.coalesce("payload", F.lit("")))
-    records = headers.join(found, on, "left").select(record.alias("value"))
     files = max(1, -(-int(size) // FILE_BYTES))
-    # Dealt by content, so that a recomputed task writes the same rows again.
-    records.repartition(files, F.xxhash64("value")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(path)
+    # Both sides are dealt to the files by key: the join needs no other exchange, and a
+    # recomputed task writes the same rows again.
+    found = payloads.repartition(files, *KEY)
+    heads = with_key(headers).select(*KEY, "record_type", "header").repartition(files, *KEY)
+    body = F.when(F.col("record_type") == "response", F.col("payload"))
+    records = heads.join(found, KEY, "left").select(F.concat(F.col("header"), F.lit(END), F.coalesce(body, F.lit(""))).alias("value"))
+    records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -151,8 +163,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     headers, payloads = store(pages.select("page_id", "url", "html"), scratch)
+    scratch.release()
     write_archives(headers, payloads, scratch.at("archives"))
-    scratch.drop("keyed", "payloads", "headers")
+    scratch.drop("payloads", "headers")
     read = read_archives(spark, scratch.at("archives")).drop("payload", "header")
     return resolved(scratch.table(read, "read"))
 
