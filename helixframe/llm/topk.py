@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import BLOCK, best, blob, matrix, ranked, usable
+from .vectors import BLOCK, best, blob, each_row, gathered, matrix, ranked, sent, usable
 
 PIVOTS = 32
 #: Vectors from which the pivots are taken, and those in an annulus.
@@ -113,23 +113,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     points[:, width] = np.sqrt(np.maximum(0, largest - (points**2).sum(1)))
     centres = choose_pivots(points, pivots)
 
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("radii", pa.binary()), ("least", pa.float64()), ("most", pa.float64())])
+
     def keyed(query: bool):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for start in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(start, BLOCK)
-                    ids, own = part.column("id").to_numpy(), matrix(part.column("vec"), width)
-                    lift = np.zeros(len(own)) if query else np.sqrt(np.maximum(0, largest - (own**2).sum(1)))
-                    far = distances(np.column_stack([own, lift]), centres)
-                    cell = far.argmin(1)
-                    out: dict[str, list] = {"cell": [], "n": [], "ids": [], "vecs": [], "radii": [], "least": [], "most": []}
-                    for c in np.unique(cell):
-                        rows = np.flatnonzero(cell == c)
-                        rows = rows[np.argsort(far[rows, c], kind="stable")]
-                        radii = far[rows] if query else far[rows, c]
-                        for name, value in (("cell", int(c)), ("n", len(rows)), ("ids", blob(ids[rows])), ("vecs", blob(own[rows])), ("radii", blob(radii)), ("least", float(far[rows, c].min())), ("most", float(far[rows, c].max()))):
-                            out[name].append(value)
-                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("radii", pa.binary()), ("least", pa.float64()), ("most", pa.float64())]))
+            yield from sent(cut(batches), schema)
+
+        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+            for ids, own in gathered(batches, width):
+                lift = np.zeros(len(own)) if query else np.sqrt(np.maximum(0, largest - (own**2).sum(1)))
+                far = distances(np.column_stack([own, lift]), centres)
+                cell = far.argmin(1)
+                for c in np.unique(cell):
+                    members = np.flatnonzero(cell == c)
+                    members = members[np.argsort(far[members, c], kind="stable")]
+                    for start in range(0, len(members), BLOCK):
+                        rows = members[start : start + BLOCK]
+                        own_far = far[rows, c]
+                        yield int(c), len(rows), blob(ids[rows]), blob(own[rows]), blob(far[rows] if query else own_far), float(own_far.min()), float(own_far.max())
 
         return run
 
@@ -140,18 +141,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     spans = {r["cell"]: (r["least"], r["most"]) for r in blocks.groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect()}
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = row["cell"]
-                q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"]).reshape(-1, width)
-                far, limit = np.frombuffer(row["q_far"]).reshape(len(q_ids), -1), np.frombuffer(row["q_limit"])
-                ids, vecs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"]).reshape(-1, width)
-                base = (q**2).sum(1) + largest
-                made = [(q_ids[i], x, s) for i, x, s in search_block(ids, vecs, np.frombuffer(row["radii"]), q_ids, q, far[:, c], limit, k, base) if len(x)]
-                if made:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([m[0] for m in made], [len(m[1]) for m in made])), pa.array(np.concatenate([m[1] for m in made])), pa.array(np.concatenate([m[2] for m in made]))], ["query_id", "vec_id", "score"]
-                    )
+        for row in each_row(batches):
+            c = row["cell"]
+            q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"]).reshape(-1, width)
+            far, limit = np.frombuffer(row["q_far"]).reshape(len(q_ids), -1), np.frombuffer(row["q_limit"])
+            ids, vecs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"]).reshape(-1, width)
+            base = (q**2).sum(1) + largest
+            made = [(q_ids[i], x, s) for i, x, s in search_block(ids, vecs, np.frombuffer(row["radii"]), q_ids, q, far[:, c], limit, k, base) if len(x)]
+            if made:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([m[0] for m in made], [len(m[1]) for m in made])), pa.array(np.concatenate([m[1] for m in made])), pa.array(np.concatenate([m[2] for m in made]))], ["query_id", "vec_id", "score"]
+                )
 
     found = "query_id long, vec_id long, score long"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in one packed block at most.
 BLOCK = 4096
+#: Bytes of vectors that an index task holds before it cuts them into blocks, and of rows that it sends on at once.
+GATHER_BYTES, SEND_BYTES = 32 << 20, 8 << 20
 #: Cells of scores that one step of a search holds.
 SCORE_CELLS = 4 << 20
 
@@ -39,6 +43,43 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of many Arrow batches (id, vec) together, so that blocks of a cell are few and full."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(start, BLOCK)
+            held.append((part.column("id").to_numpy(), matrix(part.column("vec"), width)))
+            size += held[-1][1].nbytes
+            if size >= GATHER_BYTES:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def sent(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= SEND_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def each_row(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches; binary values stay buffers of the batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: value.as_buffer() if isinstance(value := batch.column(name)[i], pa.BinaryScalar) else value.as_py() for name in batch.schema.names}
+
+
 def blob(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
