@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import BLOCK, best, blob, matrix, ranked, usable
+from .vectors import BLOCK, best, blob, each_row, gathered, matrix, ranked, sent, usable
 
 #: Vectors the tree is fitted on, branches of a node, depth, and the fewest vectors of the sample that are split.
 SAMPLE, BRANCHES, DEPTH, LEAST = 8192, 8, 3, 64
@@ -124,13 +124,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     block_type = pa.schema([("leaf", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
 
     def indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                ids, own = part.column("id").to_numpy(), matrix(part.column("vec"), width)
-                leaf = tree.assign(own)
-                groups = [(int(x), np.flatnonzero(leaf == x)) for x in np.unique(leaf)]
-                yield pa.RecordBatch.from_pydict({"leaf": [x for x, _ in groups], "ids": [blob(ids[r]) for _, r in groups], "vecs": [blob(own[r]) for _, r in groups]}, schema=block_type)
+        yield from sent(cut(batches), block_type)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for ids, own in gathered(batches, width):
+            leaf = np.concatenate([tree.assign(own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)])
+            order = np.argsort(leaf, kind="stable")
+            for members in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+                for start in range(0, len(members), BLOCK):
+                    rows = members[start : start + BLOCK]
+                    yield int(leaf[rows[0]]), blob(ids[rows]), blob(own[rows])
 
     blocks = scratch.table(rows.mapInArrow(indexed, "leaf int, ids binary, vecs binary"), "blocks")
 
@@ -150,9 +153,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*out, strict=True)), pa.array(np.full(sum(len(x[0]) for x in out), row["leaf"], np.int32))], schema=found_type)
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from scored(some_ids, some, row)
+        for row in each_row(batches):
+            yield from scored(some_ids, some, row)
 
     found = "query_id long, vec_id long, score double, leaf int"
     truth = blocks.mapInArrow(brute, found)
@@ -185,15 +187,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     for i, vec in enumerate(own):
                         for leaf in tree.walk(vec, count):
                             of.setdefault(leaf, []).append(i)
-                    if of:
-                        yield pa.RecordBatch.from_pydict({"leaf": [*of], "ids": [blob(ids[r]) for r in of.values()], "vecs": [blob(own[r]) for r in of.values()]}, schema=block_type)
+                    yield from sent(((leaf, blob(ids[r]), blob(own[r])) for leaf, r in of.items()), block_type)
 
         return run
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from scored(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"]).reshape(-1, width), row)
+        for row in each_row(batches):
+            yield from scored(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"]).reshape(-1, width), row)
 
     def visited(queries: DataFrame, count: int) -> DataFrame:
         asked = queries.mapInArrow(visiting(count), "leaf int, ids binary, vecs binary").select("leaf", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
