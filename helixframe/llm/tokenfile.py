@@ -2,7 +2,7 @@
 
 Documents are encoded, dealt by ranges of doc_id and written as shards in
 ascending order.  A shard is compressed by Re-Pair: rounds replace the pairs
-of ids that are frequent in it by nonterminals, and the shard stores the rules
+of ids that are frequent in it by nonterminals until none is left, and the shard stores the rules
 with the length each nonterminal expands to.  No pair crosses the end of a
 document, so each document is a slice of the compressed sequence and can be
 decoded by itself.
@@ -36,8 +36,8 @@ from .scratch import Scratch, shuffle_width
 
 #: A shard is closed when it holds so many ids (or one document, if longer).
 SHARD_IDS = 1 << 18
-#: Pairs are replaced from this count in a shard on, in so many rounds at most.
-LEAST_COUNT, ROUNDS, RULES_A_ROUND = 16, 2, 4096
+#: Pairs are replaced from this count in a shard on, so many of them in a round.
+LEAST_COUNT, RULES_A_ROUND = 16, 4096
 HEAD = struct.Struct("<4sIIIQI")
 NULL_ID = -(1 << 63)
 
@@ -122,8 +122,9 @@ def unpack_ids(blob: bytes) -> np.ndarray:
 def repair(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Re-Pair over documents laid end to end.
 
-    Returns compressed ids, compressed length of each document, rules (pairs),
-    their expansion lengths and the first nonterminal.
+    Rounds go on until no pair inside documents has LEAST_COUNT places.  Returns
+    compressed ids, compressed length of each document, rules (pairs), their
+    expansion lengths and the first nonterminal.
     """
     first = int(ids.max()) + 1 if ids.size else 0
     sequence = ids.astype(np.uint64)
@@ -133,9 +134,7 @@ def repair(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rules: list[np.ndarray] = []
     expansion = [np.ones(first, np.int64)]
     total = first
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
+    while len(sequence) > 1:  # every round replaces a pair at least
         pairs = sequence[:-1] << np.uint64(32) | sequence[1:]
         inside = ~last[:-1]
         ordered = np.sort(pairs[inside])

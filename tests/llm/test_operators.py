@@ -70,6 +70,18 @@ def test_shard_random_access():
         assert (shard.document(k) == doc).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(0, 1000, 64)
+    docs = [np.concatenate([rng.integers(0, 1000, 9), phrase, phrase]).astype(np.uint32) for _ in range(40)] + [np.full(500, 7, np.uint32)]
+    blob = tokenfile.write_shard(np.arange(41), np.array([len(d) for d in docs]), np.concatenate(docs))
+    shard = tokenfile.Shard(blob)
+    assert all((shard.document(k) == doc).all() for k, doc in enumerate(docs))
+    assert shard.expansion.max() >= 64
+    pairs = [p for x, y in zip(shard.bounds, shard.bounds[1:]) for p in zip(shard.sequence[x : y - 1].tolist(), shard.sequence[x + 1 : y].tolist())]
+    assert max(pairs.count(p) for p in set(pairs)) < tokenfile.LEAST_COUNT
+
+
 def test_mixing(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["copies"] <= 2 for r in rows)
