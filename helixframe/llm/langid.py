@@ -25,6 +25,8 @@ LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 TEXTS, WINDOWS = 400, 2
 EPOCHS, BATCH, RATE = 14, 64, 0.02
 UNKNOWN = "und"
+#: Labelled texts that set the least score of a kept text, and the share of the rightly told ones that may fall below it.
+CALIBRATION, BELOW = 20_000, 0.001
 
 #: Letters lower-cased; digits, marks and controls are one blank.
 FOLD = np.full(256, 32, np.uint8)
@@ -143,9 +145,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def known(docs: DataFrame) -> DataFrame:
+    """Rows with a text and a label that may be learned."""
+    return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+
+
 def fit(docs: DataFrame) -> Network | None:
     """Train on texts and non-null langs of rows that aren't held out; None if there are none."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = known(docs)
     # The rows with the smallest hashes of each language; Spark limits each group before the shuffle.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= TEXTS).select("doc_id", "lang")
@@ -206,7 +213,20 @@ def predictions(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", "held_out", "_told.lang_pred", "_told.score")
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` with a language (not ``und``) and a score of ``least`` or more, columns unchanged."""
-    told = docs.withColumn("_told", identify(fit(docs)))
+def least_score(docs: DataFrame, network: Network | None) -> float:
+    """The score that all but BELOW of the labelled texts reach whose label the network finds; 0 if there are none."""
+    labelled = known(docs)
+    every = max(1, labelled.count() // CALIBRATION)
+    told = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).select("lang", identify(network).alias("told"))
+    return told.filter("told.lang_pred = lang").agg(F.percentile_approx("told.score", BELOW, 100_000)).first()[0] or 0.0
+
+
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """Rows of ``docs`` with a language (not ``und``) and a score of ``least`` or more, columns unchanged.
+
+    Without ``least`` the labelled rows tell it.
+    """
+    network = fit(docs)
+    least = least_score(docs, network) if least is None else least
+    told = docs.withColumn("_told", identify(network))
     return told.filter((F.col("_told.lang_pred") != UNKNOWN) & (F.col("_told.score") >= least)).select(*docs.columns)

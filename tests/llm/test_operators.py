@@ -188,6 +188,17 @@ def test_language(spark, odd, empty):
     assert langid.predictions(empty).count() == 0
 
 
+def test_language_rejects_by_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    longest = docs.filter("lang is not null").groupBy("lang").agg(F.max_by("text", F.length("text")).alias("text")).collect()
+    mixed = " ".join(r["text"][:2048] for r in longest)
+    every = docs.unionByName(spark.createDataFrame([(10**9, mixed, None)], docs.schema))
+    kept = {r["doc_id"] for r in langid.accepted(every).select("doc_id").collect()}
+    right = langid.predictions(every).join(docs, "doc_id").filter("lang_pred = lang")
+    assert 10**9 not in kept
+    assert right.count() - right.filter(F.col("doc_id").isin(*kept)).count() <= 3
+
+
 def test_quality(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
