@@ -215,7 +215,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
                 keys, flags, rows = signatures(bands, sizes, sets, sketch)
                 ids = doc_ids[at:to]
-                # A bucket that is large in this step is linked here and goes on as its head alone.
+                # A bucket that is large in this step and has a probe is linked here and goes on as its head alone.
                 order = np.argsort(keys, kind="stable")
                 again = np.flatnonzero(keys[order][1:] == keys[order][:-1])
                 pairs = np.zeros((0, 3), np.int64)
@@ -226,9 +226,11 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                         by, _, pairs = bucket_pairs(keys[large], flags[large], ids[rows[large]])
                         first = np.ones(len(large), bool)
                         first[1:] = keys[large[by]][1:] != keys[large[by]][:-1]
-                        undeleted = flags[large[by]] & DELETION == 0
-                        headed = np.repeat(undeleted[first], np.diff(np.append(np.flatnonzero(first), len(first))))
-                        flags[large[by][first & undeleted]] |= HEAD | PROBE
+                        # Only where the star's pairs are made; others may meet a probe of another step.
+                        starts, own = np.flatnonzero(first), flags[large[by]]
+                        starred = (own[starts] & DELETION == 0) & (np.bitwise_or.reduceat(own, starts) & PROBE != 0)
+                        headed = np.repeat(starred, np.diff(np.append(starts, len(first))))
+                        flags[large[by][first & headed]] |= HEAD | PROBE
                         keep = np.ones(len(keys), bool)
                         keep[large[by][~first & headed]] = False
                         keys, flags, rows = keys[keep], flags[keep], rows[keep]

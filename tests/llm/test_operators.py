@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,36 @@ def test_jaccard_hot_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_jaccard_bucket_without_probe(spark, monkeypatch):
+    """A bucket that is large in one step and probed only from another one gives all pairs with the probe's set."""
+
+    def entries(bands, sizes, sets, sketch):
+        probe = len(sizes) == 1
+        return np.full(len(sizes), 77, np.uint64), np.full(len(sizes), jaccard.PROBE if probe else 0, np.int64), np.arange(len(sizes))
+
+    monkeypatch.setattr(jaccard, "signatures", entries)
+    taken = []
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+    jaccard.candidate_pairs(Frame(), 75, 5, np.zeros(1 << jaccard.SKETCH_BITS, np.float32))
+    index, match = taken
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([f"w {i}" for i in ids])}) for ids in (range(20), [99])]
+    parted = [b for batch in batches for b in index([batch])]
+    found = {(a, b) for batch in match(parted) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())}
+    assert {x for pair in found for x in pair} == {*range(20), 99}
+
+
 def vectors(spark, n=400, width=6):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=width).round(1).tolist()) for i in range(n)]
