@@ -10,9 +10,9 @@ taken: a corpus-wide sketch of fingerprint counts tells segments made of common
 passages, which then get none.  Candidates are verified on the whole sets.
 
 The result asks for components, so a bucket of many sets is linked as a star,
-first within a map task, then over the corpus.  A star's failures are then
-searched again against all that share a bucket with them, unless both are
-already in one component, so that no link between components is lost.  Counts
+first within a map task, then over the corpus.  A star's failures, and what
+they stand for if they are heads, are then searched again against all that
+share a bucket with them, unless both are already in one component, so that no link between components is lost.  Counts
 of fingerprints in ranges bound an intersection from above; only pairs that
 pass this bound carry their whole sets.
 
@@ -45,6 +45,8 @@ BROADCAST_IDS = 400_000
 #: Cost of a segment without elements, which any set may share.
 EMPTY = 1e18
 DELETION, PROBE, HEAD, SALTS = 1, 2, 4, 64
+#: Bits of a pair: from a star; of an entry that stands for others; of a head and one that it stands for.
+STAR, HEADS, STANDS = 1, 2, 4
 
 
 def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def signatures(bands: Bands, sizes: np.ndarray, sets: np.ndarray, sketch: np.nda
 
 
 def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the entries that share a key, as rows (a < b, whether from a star).
+    """Pairs of the entries that share a key, as rows (a < b, STAR and HEADS or 0).
 
     A bucket of up to ``small`` entries gives all pairs with a probe, but for two
     deletions; a larger one, or one with a head of a star, pairs its smallest
@@ -187,7 +189,8 @@ def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: in
     probed = np.bincount(bucket, weights=flags & PROBE) > 0
     out = []
     member = ~head & (star & probed & (flags[heads] & DELETION == 0))[bucket]
-    out.append(np.stack([ids[heads][bucket[member]], ids[member], np.ones(int(member.sum()), np.int64)], axis=1))
+    top = heads[bucket[member]]
+    out.append(np.stack([ids[top], ids[member], np.where((flags[top] | flags[member]) & HEAD != 0, STAR | HEADS, STAR)], axis=1))
     plain = np.flatnonzero((~star & (size > 1) & probed)[bucket])
     for step in range(1, small):
         x, y = plain[:-step], plain[step:]
@@ -202,7 +205,7 @@ def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: in
 
 
 def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b, star: the pairs of all buckets; a pair may come from several."""
+    """a, b, star (bits): the pairs of all buckets; a pair may come from several."""
     parts = shuffle_width(docs.sparkSession)
     bands = Bands(percent)
     kind = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("flags", pa.binary()), ("place", pa.binary()), ("ids", pa.binary())])
@@ -224,6 +227,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                     large = np.flatnonzero((count > SMALL)[place])
                     if len(large):
                         by, _, pairs = bucket_pairs(keys[large], flags[large], ids[rows[large]])
+                        pairs[:, 2] |= STANDS
                         first = np.ones(len(large), bool)
                         first[1:] = keys[large[by]][1:] != keys[large[by]][:-1]
                         # Only where the star's pairs are made; others may meet a probe of another step.
@@ -256,7 +260,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         current = None
 
         def out(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], ["a", "b", "star"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "star"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -286,7 +290,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         yield from flush()
 
     dealt = docs.mapInArrow(index, "part int, keys binary, flags binary, place binary, ids binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, star boolean")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, star int")
 
 
 def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -425,11 +429,11 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         for side in ("a", "b"):
             pairs = pairs.join(rep_of.select(F.col("id").alias(side), F.col("rep").alias("_rep")), side, "left").withColumn(side, F.coalesce("_rep", side)).drop("_rep")
         least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        return pairs.filter("a <> b").select(least, most, "star").groupBy("a", "b").agg(F.max("star").alias("star"))
+        return pairs.filter("a <> b").select(least, most, "star").groupBy("a", "b").agg(F.bit_or("star").alias("star"))
 
     texts = docs.filter("doc_id is not null")
     raw_pairs = candidate_pairs(texts, percent, k, sketch)
-    pairs = scratch.table(of_reps(scratch.table(raw_pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "raw_pairs")), "pairs")
+    pairs = scratch.table(of_reps(scratch.table(raw_pairs.groupBy("a", "b").agg(F.bit_or("star").alias("star")), "raw_pairs")), "pairs")
     nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     outlines = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
     told = scratch.table(likely(pairs, outlines, percent), "likely")
@@ -445,10 +449,9 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     more = scratch.table(verified(apart, sets, percent), "told-2")
     links = links.unionByName(more.filter("linked").select("a", "b"))
     # Of a large bucket, the members that its head has no link to are searched against the others.
-    failed = told.filter("star and not may").select("a", "b").unionByName(
-        first.unionByName(more).filter("not linked").select("a", "b").join(told.filter("star").select("a", "b"), ["a", "b"], "left_semi")
-    )
-    failed = scratch.table(failed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "failed")
+    stars = told.filter("star > 0").select("a", "b", "star")
+    failed = told.filter("star > 0 and not may").select("a", "b", "star").unionByName(first.unionByName(more).filter("not linked").select("a", "b").join(stars, ["a", "b"]))
+    failed = scratch.table(searched_again(failed, stars), "failed")
     if not failed.isEmpty():
         parts = scratch.table(components(links, scratch, "second"), "parts-2")
         again = _shared(texts, outlines.select("id"), failed, parts, percent, k, sketch).join(told.select("a", "b"), ["a", "b"], "left_anti")
@@ -466,6 +469,16 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     return named.unionByName(lone)
 
 
+def searched_again(failed: DataFrame, stars: DataFrame) -> DataFrame:
+    """id: the ends of ``failed`` pairs (a, b, star), and what ends that are heads stand for by ``stars`` (a, b, star)."""
+    ends = F.explode(F.array("a", "b")).alias("id")
+    heads = failed.filter(F.col("star").bitwiseAND(F.lit(HEADS)) != 0).select(ends).distinct()
+    stands = stars.filter(F.col("star").bitwiseAND(F.lit(STANDS)) != 0)
+    both = stands.select(F.col("a").alias("id"), F.col("b").alias("member")).unionByName(stands.select(F.col("b").alias("id"), F.col("a").alias("member")))
+    members = both.join(heads, "id", "left_semi").select(F.col("member").alias("id"))
+    return failed.select(ends).unionByName(members).distinct()
+
+
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs whose ends aren't in one component yet."""
     for side in ("a", "b"):

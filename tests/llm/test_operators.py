@@ -175,6 +175,23 @@ def test_jaccard_bucket_without_probe(spark, monkeypatch):
     assert {x for pair in found for x in pair} == {*range(20), 99}
 
 
+def test_jaccard_members_of_failed_heads(spark):
+    """Where heads of two steps fail to link, what they stand for is searched again too."""
+    keys, ids = np.full(32, 5, np.uint64), np.arange(32)
+    probe = np.full(16, jaccard.PROBE)
+    steps = [jaccard.bucket_pairs(keys[own], probe, ids[own])[2] for own in (slice(0, 16), slice(16, 32))]
+    for pairs in steps:
+        pairs[:, 2] |= jaccard.STANDS
+    heads = jaccard.bucket_pairs(keys[:2], np.full(2, jaccard.HEAD | jaccard.PROBE), np.array([0, 16]))[2]
+    assert heads.tolist() == [[0, 16, jaccard.STAR | jaccard.HEADS]]
+    kind = "a long, b long, star int"
+    stars = spark.createDataFrame(np.concatenate([*steps, heads]).tolist(), kind)
+    found = jaccard.searched_again(spark.createDataFrame(heads.tolist(), kind), stars)
+    assert sorted(r["id"] for r in found.collect()) == [*range(32)]
+    member = jaccard.searched_again(stars.filter("a = 0 and b = 3"), stars)
+    assert sorted(r["id"] for r in member.collect()) == [0, 3]
+
+
 def vectors(spark, n=400, width=6):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=width).round(1).tolist()) for i in range(n)]
