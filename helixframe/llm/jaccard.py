@@ -47,6 +47,8 @@ EMPTY = 1e18
 DELETION, PROBE, HEAD, SALTS = 1, 2, 4, 64
 #: Bits of a pair: from a star; of an entry that stands for others; of a head and one that it stands for.
 STAR, HEADS, STANDS = 1, 2, 4
+#: Two entries of a key that make a pair.
+USABLE = f"(x.flag | y.flag) & {PROBE} <> 0 AND x.flag & y.flag & {DELETION} = 0"
 
 
 def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -373,19 +375,8 @@ def _with_sets(k: int, outline: bool):
     return run
 
 
-def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies for every row of ``docs`` (doc_id, text).
-
-    Two documents link when 100 * intersection >= percent * union of their sets
-    of k-word shingles; a component is what links reach, named by its smallest
-    doc_id.  n_copies is the number of rows with the same set.  A text without
-    words (or null) links with nothing.  Rows with one doc_id count as one
-    document with regard to links; a null doc_id has no links and a null
-    component.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _distinct_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(sizes and digests of all rows; doc_id, n_shingles, rep, n_copies of those with a set and an id; sketch of fingerprint counts)."""
 
     def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -422,6 +413,22 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     real = meta.filter("n_shingles > 0 and doc_id is not null")
     alike = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     reps = scratch.table(real.join(alike, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep", "n_copies"), "reps")
+    return meta, reps, sketch
+
+
+def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies for every row of ``docs`` (doc_id, text).
+
+    Two documents link when 100 * intersection >= percent * union of their sets
+    of k-word shingles; a component is what links reach, named by its smallest
+    doc_id.  n_copies is the number of rows with the same set.  A text without
+    words (or null) links with nothing.  Rows with one doc_id count as one
+    document with regard to links; a null doc_id has no links and a null
+    component.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    meta, reps, sketch = _distinct_sets(docs, k, scratch)
     rep_of = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("id"), "rep").distinct()
 
     def of_reps(pairs: DataFrame) -> DataFrame:
@@ -486,8 +493,8 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, parts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets and are in another component of ``parts``."""
+def _entries(texts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
+    """id, key, flag: the index entries of all texts."""
     bands = Bands(percent)
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,16 +508,42 @@ def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, parts: DataFr
                     cut = slice(start, start + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(keys[cut].view(np.int64)), pa.array(flags[cut].astype(np.int32))], ["id", "key", "flag"])
 
-    kind = "id long, key long, flag int"
+    return texts.mapInArrow(keyed, "id long, key long, flag int")
+
+
+def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, parts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
+    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets and are in another component of ``parts``."""
 
     def placed(entries: DataFrame) -> DataFrame:
         of = parts.select(F.col("node").alias("id"), "component")
         return entries.join(of, "id", "left").select("id", "key", "flag", F.coalesce("component", "id").alias("part"))
 
     # Components go into the join, so members of one component make no pairs in a large bucket.
-    asking = placed(chosen_texts(texts, failed).mapInArrow(keyed, kind))
-    given = placed(chosen_texts(texts, nodes).mapInArrow(keyed, kind))
+    asking = placed(_entries(chosen_texts(texts, failed), percent, k, sketch))
+    given = placed(_entries(chosen_texts(texts, nodes), percent, k, sketch))
     x, y = asking.alias("x"), given.alias("y")
-    usable = F.expr(f"(x.flag | y.flag) & {PROBE} <> 0 AND x.flag & y.flag & {DELETION} = 0")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & usable)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & F.expr(USABLE))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def join_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """a, b (a < b): every link between ``docs`` (doc_id, text) that stand for the rows with their set.
+
+    Rows with equal sets are all linked, and stand here as the smallest doc_id
+    among them.  All pairs of a bucket are verified, so the rows grow with the
+    square of a group of near copies, as the links do.
+    """
+    scratch = Scratch(docs.sparkSession, "links")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, reps, sketch = _distinct_sets(docs, k, scratch)
+    texts = chosen_texts(docs, reps.select(F.col("rep").alias("id")).distinct())
+    entries = scratch.table(_entries(texts, percent, k, sketch), "entries")
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & F.expr(USABLE))
+    pairs = scratch.table(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    outlines = scratch.table(texts.mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
+    may = scratch.table(likely(pairs, outlines, percent), "likely").filter("may").select("a", "b").distinct()
+    sets = scratch.table(texts.mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
+    links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b").distinct(), "links")
+    scratch.drop("sized", "reps", "entries", "pairs", "outlines", "likely", "sets")
+    return links

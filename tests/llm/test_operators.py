@@ -192,6 +192,21 @@ def test_jaccard_members_of_failed_heads(spark):
     assert sorted(r["id"] for r in member.collect()) == [0, 3]
 
 
+def test_jaccard_links(spark):
+    """Every link of a chain of near copies, with equal sets once."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for i in range(40):
+        base = base[:]
+        base[int(rng.integers(60))] = f"n{i}"
+        rows.append((i, " ".join(base)))
+    rows += [(100, rows[0][1].upper()), (101, ""), (None, rows[0][1])]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, text in rows[:40] for w in [text.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [(r["a"], r["b"]) for r in jaccard.join_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(want) > 40 and sorted(got) == sorted(want)
+
+
 def vectors(spark, n=400, width=6):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=width).round(1).tolist()) for i in range(n)]
