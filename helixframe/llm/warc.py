@@ -1,6 +1,6 @@
 """Content-addressed WARC archive (operator 6).
 
-A page's payload is stored once under its digest; the exact header block of
+A distinct payload is stored once under its SHA-256; the exact header block of
 every record is kept apart; archives and original records come from joining
 the two.  Archives are WARC/1.1 files: Spark's text writer puts the blank lines
 that end a record between records, so any Hadoop file system will do.
@@ -23,12 +23,14 @@ LEAST_BYTES = 1000
 #: Payload bytes that one archive file should hold before compression.
 FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
-#: What names a stored payload: page_id with null told apart, and the binary digest.
-KEY = ["id", "no_id", "digest"]
+#: Records of one payload that meet it in one place; those of a hot payload are dealt to several.
+SALT_ROWS = 1000
+#: Names the page that a payload is stored from: page_id with null told apart, and the SHA-256.
+KEY = ["id", "no_id", "strong"]
 
 
 def with_key(df: DataFrame) -> DataFrame:
-    """``df`` (page_id, digest, ...) with the columns of KEY, none of them null."""
+    """``df`` (page_id, strong, ...) with the columns of KEY, none of them null."""
     return df.withColumn("id", F.coalesce("page_id", F.lit(0))).withColumn("no_id", F.col("page_id").isNull())
 
 
@@ -36,6 +38,10 @@ def _digest(payload: Column) -> Column:
     return F.unhex(F.sha1(payload.cast("binary")))
 
 
+def _strong(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def header(kind: Column, page_id: Column, url: Column, length: Column, digest: Column, refers_to: Column) -> Column:
     """Header block of a record, without the blank line that ends it.
 
@@ -60,8 +66,9 @@ def header(kind: Column, page_id: Column, url: Column, length: Column, digest: C
 def store(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads) of ``pages`` (page_id, url, html), both written.
 
-    headers: page_id, digest, bytes, record_type, refers_to, header, one row a page.
-    payloads: KEY, payload, of response records only.  Of equal
+    headers: page_id, strong, digest, bytes, record_type, refers_to, header, salts,
+    one row a page.  payloads: strong, salts, payload, each distinct payload of
+    response records once; salts is how many places they meet it in.  Of equal
     payloads of LEAST_BYTES or more the row with the largest page_id is the
     response; if that id is repeated, the rows with it all are.  Equal means
     equal SHA-256 and length; the SHA-1 is what the WARC digest field shows.
@@ -69,23 +76,25 @@ def store(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(
-        "page_id", "url", F.unhex(F.sha2(payload, 256)).alias("strong"), _digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
+        "page_id", "url", _strong(payload).alias("strong"), _digest(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")
     )
     keyed = scratch.table(keyed, "keyed")
     large = F.col("bytes") >= LEAST_BYTES
-    newest = keyed.filter(large).groupBy("strong", "bytes").agg(F.max("page_id").alias("newest")).withColumnRenamed("strong", "_strong").withColumnRenamed("bytes", "_bytes")
+    newest = keyed.groupBy("strong", "bytes").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).withColumnRenamed("strong", "_strong").withColumnRenamed("bytes", "_bytes")
     on = (F.col("strong") == F.col("_strong")) & (F.col("bytes") == F.col("_bytes"))
     revisit = large & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
+    copies = F.when(large & F.col("newest").isNotNull(), 1).otherwise(F.col("n"))
     kinds = keyed.join(newest, on, "left").select(
-        "page_id", "url", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to")
+        "page_id", "url", "strong", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to"), F.ceil(copies / SALT_ROWS).cast("int").alias("salts")
     )
     length = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("bytes"))
     head = header(F.col("record_type"), F.col("page_id"), F.col("url"), length, F.lower(F.hex("digest")), F.col("refers_to"))
-    headers = scratch.table(kinds.select("page_id", "digest", "bytes", "record_type", "refers_to", head.alias("header")), "headers")
-    stored = with_key(headers.filter("record_type = 'response'")).select(*KEY).distinct()
-    kept = with_key(pages.select("page_id", _digest(payload).alias("digest"), payload.alias("payload"))).select(*KEY, "payload")
+    headers = scratch.table(kinds.select("page_id", "strong", "digest", "bytes", "record_type", "refers_to", head.alias("header"), "salts"), "headers")
+    # One page of those with a payload carries it, so that a common payload meets in no task.
+    carriers = with_key(headers.filter("record_type = 'response'").groupBy("strong").agg(F.max("page_id").alias("page_id"), F.max("salts").alias("salts"))).select(*KEY, "salts")
+    kept = with_key(pages.select("page_id", _strong(payload).alias("strong"), payload.alias("payload"))).select(*KEY, "payload")
     scratch.drop("keyed")
-    return headers, scratch.table(kept.join(stored, KEY, "left_semi").dropDuplicates(KEY), "payloads", compression="zstd")
+    return headers, scratch.table(kept.join(carriers, KEY).dropDuplicates(KEY).select("strong", "salts", "payload"), "payloads", compression="zstd")
 
 
 def write_archives(headers: DataFrame, payloads: DataFrame, path: str) -> None:
@@ -94,11 +103,13 @@ def write_archives(headers: DataFrame, payloads: DataFrame, path: str) -> None:
     size = headers.filter("record_type = 'response'").agg(F.sum("bytes")).first()[0] or 0
     files = max(1, -(-int(size) // FILE_BYTES))
     # Both sides are dealt to the files by key: the join needs no other exchange, and a
-    # recomputed task writes the same rows again.
-    found = payloads.repartition(files, *KEY)
-    heads = with_key(headers).select(*KEY, "record_type", "header").repartition(files, *KEY)
-    body = F.when(F.col("record_type") == "response", F.col("payload"))
-    records = heads.join(found, KEY, "left").select(F.concat(F.col("header"), F.lit(END), F.coalesce(body, F.lit(""))).alias("value"))
+    # recomputed task writes the same rows again.  Revisits ask for no payload.
+    by = ["strong", "salt"]
+    found = payloads.select("strong", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "payload").repartition(files, *by)
+    response = F.col("record_type") == "response"
+    salt = F.pmod(F.monotonically_increasing_id(), F.when(response, F.col("salts")).otherwise(1 << 16)).cast("int")
+    heads = headers.select(F.when(response, F.col("strong")).alias("strong"), salt.alias("salt"), "header").repartition(files, *by)
+    records = heads.join(found, by, "left").select(F.concat(F.col("header"), F.lit(END), F.coalesce("payload", F.lit(""))).alias("value"))
     records.write.mode("overwrite").option("lineSep", END).option("compression", "gzip").text(path)
 
 

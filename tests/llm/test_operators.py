@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import ann, bpe, jaccard, langid, licenses, mixing, quality, tokenfile, topk, warc
+from helixframe.llm.scratch import Scratch
 
 LONG = "alpha beta gamma delta " * 4000
 TEXT = " ".join(f"w{i}" for i in range(80))
@@ -102,6 +103,19 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_payloads_once(spark):
+    """A short page on many rows is stored once, and every record still gets it."""
+    rows = [(i, f"http://{i}", "gone") for i in range(2500)] + [(3000, "u", "other"), (None, "v", "gone"), (None, "v", "none"), (None, "v", "none"), (3001, "w", "x" * 1200), (3002, "w", "x" * 1200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch = Scratch(spark, "test-warc")
+    headers, payloads = warc.store(df, scratch)
+    assert sorted(r["payload"] for r in payloads.collect()) == ["gone", "none", "other", "x" * 1200]
+    warc.write_archives(headers, payloads, scratch.at("archives"))
+    read = warc.read_archives(spark, scratch.at("archives")).select("page_id", "record_type", F.col("payload").cast("string").alias("payload")).collect()
+    want = [(i, "revisit" if i == 3001 else "response", "" if i == 3001 else html) for i, _, html in rows]
+    assert sorted(map(str, want)) == sorted(str((r["page_id"], r["record_type"], r["payload"])) for r in read)
+
+
 def brute_components(rows, percent=75, k=5):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
