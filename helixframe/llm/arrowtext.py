@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step of a vectorised operator takes (or one document, if longer).
-STEP_BYTES = 3 << 19
+STEP_BYTES = 1 << 20
 
 
 def layout(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

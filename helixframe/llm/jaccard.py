@@ -9,12 +9,16 @@ element, found through one-deletion neighbourhoods.  The cheapest units are
 taken: a corpus-wide sketch of fingerprint counts tells segments made of common
 passages, which then get none.  Candidates are verified on the whole sets.
 
-The result asks for components, so a bucket of many sets is linked as a star,
-first within a map task, then over the corpus.  A star's failures, and what
-they stand for if they are heads, are then searched again against all that
-share a bucket with them, unless both are already in one component, so that no link between components is lost.  Counts
-of fingerprints in ranges bound an intersection from above; only pairs that
-pass this bound carry their whole sets.
+The result asks for components.  A bucket of few entries gives its candidate
+pairs; a larger one only says that its entries belong to one cluster, first
+within a map step, then over the corpus, so no bucket makes a square of rows.
+A cluster's members are verified against its head, the member of most large
+buckets.  Those that are apart from it then meet all members of the cluster,
+in blocks of bounded size that are compared whole and give a forest of links.
+Every candidate pair is in one bucket with its partner, so none is lost,
+however the rows are dealt.  Counts of fingerprints in ranges bound an
+intersection from above; only pairs that pass this bound carry their whole
+sets.
 
 Sets hold 64-bit fingerprints of shingles: two different shingles of one pair
 of texts fall together with a probability of about 1e-13.
@@ -26,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +41,12 @@ from .shingles import U, digests, mixed, shingle_sets
 
 #: Cells of the sketch of fingerprint counts, as a power of two, and cells in a row of it.
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
-#: Buckets of up to so many entries give all their pairs, larger ones a star.
+#: Buckets of up to so many entries give all their pairs, larger ones join a cluster.
 SMALL = 12
+#: Sets in a block of a cluster at most, and bytes of their fingerprints (or one set, if larger).
+BLOCK_SETS, BLOCK_BYTES = 256, 1 << 19
+#: Fingerprints that a comparison of two blocks lays out at once.
+COLUMNS = 4096
 #: From this many segments on, only one in so many has deletion neighbourhoods.
 ALL_DELETIONS, SOME_DELETIONS = 48, 8
 #: Ids up to this number are broadcast as a filter of the texts; more are joined.
@@ -45,8 +54,8 @@ BROADCAST_IDS = 400_000
 #: Cost of a segment without elements, which any set may share.
 EMPTY = 1e18
 DELETION, PROBE, HEAD, SALTS = 1, 2, 4, 64
-#: Bits of a pair: from a star; of an entry that stands for others; of a head and one that it stands for.
-STAR, HEADS, STANDS = 1, 2, 4
+#: Kinds of pairs: a candidate to verify; two entries of one cluster.
+CANDIDATE, CLUSTER = 0, 1
 #: Two entries of a key that make a pair.
 USABLE = f"(x.flag | y.flag) & {PROBE} <> 0 AND x.flag & y.flag & {DELETION} = 0"
 
@@ -172,42 +181,56 @@ def signatures(bands: Bands, sizes: np.ndarray, sets: np.ndarray, sketch: np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of the entries that share a key, as rows (a < b, STAR and HEADS or 0).
+def counted(pairs: np.ndarray) -> np.ndarray:
+    """Distinct rows (a < b, kind, n) of pairs (a, b, kind), without loops; n is how often each came."""
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs = np.column_stack([pairs[:, :2].min(1), pairs[:, :2].max(1), pairs[:, 2]])
+    found, n = np.unique(pairs, axis=0, return_counts=True)
+    return np.column_stack([found, n])
+
+
+def stars(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cluster edges of buckets; entries are sorted by (key, deletion, id), ``large`` marks the buckets in order.
+
+    A bucket needs a probe and an entry without a deletion, or it has no
+    candidate pair.  Returns (edges, place of the head of each bucket that has
+    them, mark of their entries).
+    """
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(heads, len(keys)))
+    joined = large & (flags[heads] & DELETION == 0) & (np.bitwise_or.reduceat(flags, heads) & PROBE != 0)
+    member = np.repeat(joined, size)
+    top = np.repeat(heads, size)[member]
+    return np.stack([ids[top], ids[member], np.full(len(top), CLUSTER)], axis=1), heads[joined], member
+
+
+def bucket_pairs(keys: np.ndarray, flags: np.ndarray, ids: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """Rows (a < b, kind, n) of the entries that share a key.
 
     A bucket of up to ``small`` entries gives all pairs with a probe, but for two
-    deletions; a larger one, or one with a head of a star, pairs its smallest
-    undeleted id with all others.  Returns (order by key, number of entries in
-    each one's bucket, pairs).
+    deletions; a larger one, or one with an entry that stands for others, the
+    edges of a cluster.
     """
     order = np.lexsort((ids, flags & DELETION, keys))
     keys, flags, ids = keys[order], flags[order], ids[order]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    bucket = np.cumsum(head) - 1
-    heads = np.flatnonzero(head)
-    size = np.bincount(bucket)
-    star = (size > small) | (np.bincount(bucket, weights=flags & HEAD) > 0)
-    probed = np.bincount(bucket, weights=flags & PROBE) > 0
-    out = []
-    member = ~head & (star & probed & (flags[heads] & DELETION == 0))[bucket]
-    top = heads[bucket[member]]
-    out.append(np.stack([ids[top], ids[member], np.where((flags[top] | flags[member]) & HEAD != 0, STAR | HEADS, STAR)], axis=1))
-    plain = np.flatnonzero((~star & (size > 1) & probed)[bucket])
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(heads, len(keys)))
+    every = np.bitwise_or.reduceat(flags, heads)
+    large = (size > small) | (every & HEAD != 0)
+    out = [stars(keys, flags, ids, large)[0]]
+    bucket = np.repeat(np.arange(len(heads)), size)
+    plain = np.flatnonzero((~large & (size > 1) & (every & PROBE != 0))[bucket])
     for step in range(1, small):
         x, y = plain[:-step], plain[step:]
         met = (bucket[x] == bucket[y]) & ((flags[x] | flags[y]) & PROBE != 0) & (flags[x] & flags[y] & DELETION == 0)
         if not met.any():
             break
-        out.append(np.stack([ids[x[met]], ids[y[met]], np.zeros(int(met.sum()), np.int64)], axis=1))
-    pairs = np.concatenate(out)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    pairs = np.column_stack([pairs[:, :2].min(1), pairs[:, :2].max(1), pairs[:, 2]])
-    return order, size[bucket], np.unique(pairs, axis=0)
+        out.append(np.stack([ids[x[met]], ids[y[met]], np.full(int(met.sum()), CANDIDATE)], axis=1))
+    return counted(np.concatenate(out))
 
 
 def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b, star (bits): the pairs of all buckets; a pair may come from several."""
+    """a, b, kind, n: candidates and cluster edges of all buckets; a pair may come from several."""
     parts = shuffle_width(docs.sparkSession)
     bands = Bands(percent)
     kind = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("flags", pa.binary()), ("place", pa.binary()), ("ids", pa.binary())])
@@ -220,26 +243,20 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
                 keys, flags, rows = signatures(bands, sizes, sets, sketch)
                 ids = doc_ids[at:to]
-                # A bucket that is large in this step and has a probe is linked here and goes on as its head alone.
-                order = np.argsort(keys, kind="stable")
-                again = np.flatnonzero(keys[order][1:] == keys[order][:-1])
-                pairs = np.zeros((0, 3), np.int64)
-                if len(again) >= SMALL:
-                    own, place, count = np.unique(keys, return_inverse=True, return_counts=True)
+                # A bucket that is large in this step and has candidates is a cluster here and goes on as its head alone.
+                pairs = np.zeros((0, 4), np.int64)
+                ordered = np.sort(keys)
+                if (ordered[SMALL:] == ordered[:-SMALL]).any():
+                    _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
                     large = np.flatnonzero((count > SMALL)[place])
-                    if len(large):
-                        by, _, pairs = bucket_pairs(keys[large], flags[large], ids[rows[large]])
-                        pairs[:, 2] |= STANDS
-                        first = np.ones(len(large), bool)
-                        first[1:] = keys[large[by]][1:] != keys[large[by]][:-1]
-                        # Only where the star's pairs are made; others may meet a probe of another step.
-                        starts, own = np.flatnonzero(first), flags[large[by]]
-                        starred = (own[starts] & DELETION == 0) & (np.bitwise_or.reduceat(own, starts) & PROBE != 0)
-                        headed = np.repeat(starred, np.diff(np.append(starts, len(first))))
-                        flags[large[by][first & headed]] |= HEAD | PROBE
-                        keep = np.ones(len(keys), bool)
-                        keep[large[by][~first & headed]] = False
-                        keys, flags, rows = keys[keep], flags[keep], rows[keep]
+                    large = large[np.lexsort((ids[rows[large]], flags[large] & DELETION, keys[large]))]
+                    edges, heads, member = stars(keys[large], flags[large], ids[rows[large]], np.True_)
+                    pairs = counted(edges)
+                    flags[large[heads]] |= HEAD | PROBE
+                    member[heads] = False
+                    keep = np.ones(len(keys), bool)
+                    keep[large[member]] = False
+                    keys, flags, rows = keys[keep], flags[keep], rows[keep]
                 flags = flags.astype(np.uint8)
                 part = (keys % U(parts)).astype(np.int32)
                 by = np.argsort(part, kind="stable")
@@ -262,7 +279,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         current = None
 
         def out(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "star"])
+            return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, c].copy()) for c in (0, 1)), pa.array(pairs[:, 2].astype(np.int32)), pa.array(pairs[:, 3].copy())], ["a", "b", "kind", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -275,7 +292,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 if len(again):
                     place[place == len(again)] = 0
                     kept = again[place] == keys
-                    yield out(bucket_pairs(keys[kept], flags[kept].astype(np.int64), ids[kept])[2])
+                    yield out(bucket_pairs(keys[kept], flags[kept].astype(np.int64), ids[kept]))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -284,7 +301,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                     current = row["part"]
                 ids = np.frombuffer(row["ids"], np.int64)
                 if not row["keys"]:
-                    yield out(ids.reshape(-1, 3))
+                    yield out(ids.reshape(-1, 4))
                     continue
                 keys = np.frombuffer(row["keys"], U)
                 narrow = np.uint16 if len(row["place"]) == 2 * len(keys) else np.uint32
@@ -292,7 +309,7 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
         yield from flush()
 
     dealt = docs.mapInArrow(index, "part int, keys binary, flags binary, place binary, ids binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, star int")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, kind int, n long")
 
 
 def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -436,63 +453,173 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         for side in ("a", "b"):
             pairs = pairs.join(rep_of.select(F.col("id").alias(side), F.col("rep").alias("_rep")), side, "left").withColumn(side, F.coalesce("_rep", side)).drop("_rep")
         least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        return pairs.filter("a <> b").select(least, most, "star").groupBy("a", "b").agg(F.bit_or("star").alias("star"))
+        return pairs.filter("a <> b").select(least, most, "kind", "n").groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
+
+    # Rows that repeat a doc_id, with one text or several, are one document: it has the links of each text.
+    repeated = not meta.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.distinct() if repeated else rows
 
     texts = docs.filter("doc_id is not null")
-    raw_pairs = candidate_pairs(texts, percent, k, sketch)
-    pairs = scratch.table(of_reps(scratch.table(raw_pairs.groupBy("a", "b").agg(F.bit_or("star").alias("star")), "raw_pairs")), "pairs")
-    nodes = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    outlines = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
-    told = scratch.table(likely(pairs, outlines, percent), "likely")
-    may = told.filter("may").select("a", "b", "star")
-    nodes = scratch.table(may.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes-2")
-    sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
-    # One pair for a document first; of the others only what is still apart.
-    lead = may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = scratch.table(verified(lead, sets, percent), "told-1")
-    links = first.filter("linked").select("a", "b")
-    parts = scratch.table(components(links, scratch, "first"), "parts-1")
-    apart = _apart(may.join(first.select("a", "b"), ["a", "b"], "left_anti"), parts)
-    more = scratch.table(verified(apart, sets, percent), "told-2")
-    links = links.unionByName(more.filter("linked").select("a", "b"))
-    # Of a large bucket, the members that its head has no link to are searched against the others.
-    stars = told.filter("star > 0").select("a", "b", "star")
-    failed = told.filter("star > 0 and not may").select("a", "b", "star").unionByName(first.unionByName(more).filter("not linked").select("a", "b").join(stars, ["a", "b"]))
-    failed = scratch.table(searched_again(failed, stars), "failed")
-    if not failed.isEmpty():
-        parts = scratch.table(components(links, scratch, "second"), "parts-2")
-        again = _shared(texts, outlines.select("id"), failed, parts, percent, k, sketch).join(told.select("a", "b"), ["a", "b"], "left_anti")
-        again = scratch.table(likely(again, outlines, percent), "again").filter("may").select("a", "b")
-        nodes = scratch.table(again.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes-3")
-        sets = scratch.table(chosen_texts(texts, nodes).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets-2")
-        last = scratch.table(verified(again, sets, percent), "told-3")
-        links = links.unionByName(last.filter("linked").select("a", "b"))
-    found = scratch.table(components(links, scratch, "last"), "parts-3")
+    raw = scratch.table(candidate_pairs(texts, percent, k, sketch).groupBy("a", "b", "kind").agg(F.sum("n").alias("n")), "raw")
+    pairs = scratch.table(of_reps(raw), "pairs")
+    edges = pairs.filter(F.col("kind") == CLUSTER)
+    clusters = scratch.table(clustered(edges, scratch), "clusters")
+    heads = clusters.groupBy("cluster").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("head"))
+    leads = clusters.join(heads, "cluster").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    # Two members of one cluster are left to it.
+    plain = _apart(pairs.filter(F.col("kind") == CANDIDATE), clusters.select(F.col("id").alias("node"), F.col("cluster").alias("component")))
+    asked = scratch.table(plain.unionByName(leads).distinct(), "asked")
+    nodes = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    outlines = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-1")).mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
+    may = scratch.table(once(likely(asked, once(outlines), percent).filter("may").select("a", "b")), "likely")
+    nodes = may.select(F.explode(F.array("a", "b")).alias("id")).unionByName(clusters.select("id")).distinct()
+    sets = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-2")).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
+    sets = once(sets)
+    links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b"), "links-1")
+    if not clusters.isEmpty():
+        parts = scratch.table(components(links, scratch, "first"), "parts-1")
+        links = links.unionByName(scratch.table(_cluster_links(clusters, heads, sets, parts, percent, scratch), "links-2"))
+    found = scratch.table(components(links, scratch, "last"), "parts-2")
     named = reps.join(found, reps.rep == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "n_copies")
     # Rows that share a doc_id share its component.
     named = named.withColumn("component_id", F.min("component_id").over(Window.partitionBy("doc_id")))
     lone = meta.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    scratch.drop("raw_pairs", "pairs", "nodes", "nodes-2", "nodes-3", "outlines", "likely", "sets", "sets-2", "parts-1", "parts-2", "told-1", "told-2", "told-3", "failed", "again")
+    scratch.drop("raw", "pairs", "clusters", "asked", "nodes-1", "nodes-2", "outlines", "likely", "sets", "blocks", "links-1", "links-2", "parts-1")
     return named.unionByName(lone)
 
 
-def searched_again(failed: DataFrame, stars: DataFrame) -> DataFrame:
-    """id: the ends of ``failed`` pairs (a, b, star), and what ends that are heads stand for by ``stars`` (a, b, star)."""
-    ends = F.explode(F.array("a", "b")).alias("id")
-    heads = failed.filter(F.col("star").bitwiseAND(F.lit(HEADS)) != 0).select(ends).distinct()
-    stands = stars.filter(F.col("star").bitwiseAND(F.lit(STANDS)) != 0)
-    both = stands.select(F.col("a").alias("id"), F.col("b").alias("member")).unionByName(stands.select(F.col("b").alias("id"), F.col("a").alias("member")))
-    members = both.join(heads, "id", "left_semi").select(F.col("member").alias("id"))
-    return failed.select(ends).unionByName(members).distinct()
+def clustered(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, cluster, n (large buckets that the set is a member of) of the ends of ``edges`` (a, b, n)."""
+    ends = edges.select("a", "b", "n")
+    weight = ends.select(F.col("b").alias("id"), "n").unionByName(ends.select(F.col("a").alias("id"), F.lit(0).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    found = components(ends.select("a", "b"), scratch, "cluster").withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    return found.join(weight, "id")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
+    """Pairs whose ends aren't in one component of ``parts`` (node, component)."""
     for side in ("a", "b"):
         pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
     return pairs.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
+class Block:
+    """Sets of a cluster: ids, sizes, the sets end to end, and the component of each so far."""
+
+    def __init__(self, ids: bytes, sizes: bytes, sets: bytes, parts: bytes):
+        self.ids, self.sizes, self.parts = (np.frombuffer(x, np.int64) for x in (ids, sizes, parts))
+        self.sets = np.frombuffer(sets, U)
+        self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+
+
+def common(x: Block, y: Block) -> np.ndarray:
+    """Intersection sizes of each set of ``x`` with each of ``y``: a product of 0/1 matrices over the shared fingerprints."""
+    shared = np.intersect1d(x.sets, y.sets)
+    out = np.zeros((len(x.ids), len(y.ids)), np.float32)  # exact below 2^24, and there are COLUMNS at most in a step
+    total = np.zeros(out.shape, np.int64)
+    if not len(shared):
+        return total
+    sides = []
+    for own in (x, y):
+        place = np.minimum(np.searchsorted(shared, own.sets), len(shared) - 1)
+        hit = shared[place] == own.sets
+        order = np.argsort(place[hit], kind="stable")
+        sides.append((place[hit][order], own.owner[hit][order], len(own.ids)))
+    for start in range(0, len(shared), COLUMNS):
+        made = []
+        for place, owner, n in sides:
+            a, b = np.searchsorted(place, (start, start + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(shared) - start)), np.float32)
+            m[owner[a:b], place[a:b] - start] = 1
+            made.append(m)
+        total += (made[0] @ made[1].T).astype(np.int64)
+    return total
+
+
+def forest(x: Block, y: Block, percent: int) -> list[tuple[int, int]]:
+    """Links of two blocks that join components: no more than there are components to join."""
+    both = common(x, y)
+    linked = 100 * both >= percent * (x.sizes[:, None] + y.sizes[None, :] - both)
+    linked &= x.parts[:, None] != y.parts[None, :]
+    root: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while (up := root.get(p, p)) != p:
+            p = up
+        return p
+
+    out = []
+    for i, j in zip(*(at.tolist() for at in np.nonzero(linked)), strict=True):
+        p, q = find(int(x.parts[i])), find(int(y.parts[j]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(x.ids[i]), int(y.ids[j])))
+    return out
+
+
+def _cluster_links(clusters: DataFrame, heads: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between members of one cluster that the components ``parts`` (node, component) keep apart.
+
+    What is in the component of the cluster's head needs no comparison with
+    its like; all others meet every member of near size, block by block.
+    """
+    spark = clusters.sparkSession
+    of = parts.select(F.col("node").alias("id"), "component")
+    placed = clusters.join(of, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("part"))
+    core = placed.join(heads.select(F.col("head").alias("id")), "id").select("cluster", F.col("part").alias("core"))
+    told = placed.join(core, "cluster").select("id", "cluster", "part", (F.col("part") != F.col("core")).alias("outlier"))
+    open_ = told.filter("outlier").select("cluster").distinct()
+    rows = told.join(open_, "cluster", "left_semi").join(sets, "id").select("cluster", "outlier", (F.octet_length("set") / 8).cast("long").alias("n"), "id", "part", "set")
+    rows = scratch.table(rows, "members")
+    by = ["cluster", "outlier", "n", "id"]
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = number = 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            ids, sizes, own = (np.array([r[c] for r in held], np.int64).tobytes() for c in ("id", "n", "part"))
+            ends = {"cluster": held[0]["cluster"], "outlier": held[0]["outlier"], "least": held[0]["n"], "most": held[-1]["n"], "no": TaskContext.get().partitionId() << 32 | number}
+            return pa.RecordBatch.from_pylist([{**ends, "ids": ids, "sizes": sizes, "sets": b"".join(r["set"] for r in held), "parts": own}], kind)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (len(held) == BLOCK_SETS or size + len(row["set"]) > BLOCK_BYTES or (row["cluster"], row["outlier"]) != (held[0]["cluster"], held[0]["outlier"])):
+                    yield closed()
+                    held.clear()
+                    size = 0
+                held.append(row)
+                size += len(row["set"])
+        if held:
+            yield closed()
+
+    kind = pa.schema([("cluster", pa.int64()), ("outlier", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("no", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "sets", "parts"))])
+    dealt = rows.repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by).select("cluster", "outlier", "n", "id", "part", "set")
+    blocks = scratch.table(dealt.mapInArrow(packed, "cluster long, outlier boolean, least long, most long, no long, ids binary, sizes binary, sets binary, parts binary"), "blocks")
+    scratch.drop("members")
+    spans = blocks.select("cluster", "outlier", "least", "most", "no")
+    x, y = spans.filter("outlier").alias("x"), spans.alias("y")
+    near = (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
+    met = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & near & (~F.col("y.outlier") | (F.col("x.no") <= F.col("y.no"))))
+    met = met.select(F.col("x.no").alias("x"), F.col("y.no").alias("y"))
+    names = ("ids", "sizes", "sets", "parts")
+    for side in ("y", "x"):
+        met = met.join(blocks.select(F.col("no").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, other = (Block(*(batch.column(f"{side}_{c}")[i].as_buffer() for c in names)) for side in ("x", "y"))
+                found = forest(one, other, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(compared, "a long, b long")
+
+
 def _entries(texts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
     """id, key, flag: the index entries of all texts."""
     bands = Bands(percent)
@@ -511,21 +638,6 @@ def _entries(texts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> Data
     return texts.mapInArrow(keyed, "id long, key long, flag int")
 
 
-def _shared(texts: DataFrame, nodes: DataFrame, failed: DataFrame, parts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
-    """a, b: every ``failed`` set (id) with all of ``nodes`` (id) that share one of its buckets and are in another component of ``parts``."""
-
-    def placed(entries: DataFrame) -> DataFrame:
-        of = parts.select(F.col("node").alias("id"), "component")
-        return entries.join(of, "id", "left").select("id", "key", "flag", F.coalesce("component", "id").alias("part"))
-
-    # Components go into the join, so members of one component make no pairs in a large bucket.
-    asking = placed(_entries(chosen_texts(texts, failed), percent, k, sketch))
-    given = placed(_entries(chosen_texts(texts, nodes), percent, k, sketch))
-    x, y = asking.alias("x"), given.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & F.expr(USABLE))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-
-
 def join_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """a, b (a < b): every link between ``docs`` (doc_id, text) that stand for the rows with their set.
 

@@ -26,41 +26,71 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of BASE and of its inverse modulo 2^64, as far as asked for."""
+    """Powers of BASE and of its inverse modulo 2^64, for a step of bytes."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, STEP_BYTES)
-            up, down = np.full(n, BASE, U), np.full(n, pow(BASE, -1, 1 << 64), U)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+        if len(self.up) < n <= 2 * STEP_BYTES:
+            self.up, self.down = self.made(2 * STEP_BYTES)
+        return (self.up, self.down) if n <= len(self.up) else self.made(n)
+
+    @staticmethod
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, BASE, U), np.full(n, pow(BASE, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 _powers = Powers()
 
 
+def spans_hashed(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``buf``, of its bytes and length alone."""
+    n = len(buf)
+    up, down = _powers.upto(n)
+    sums = np.zeros(n + 1, U)
+    np.cumsum((buf.astype(U) + U(1)) * up[:n], out=sums[1:])
+    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U))
+
+
+def pieces(separator: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+    """Cuts of a buffer into pieces of about STEP_BYTES that end at a separator or an edge, so that no word is cut."""
+    n, out, at = len(separator), [], 0
+    while at < n:
+        to = min(n, at + STEP_BYTES)
+        if to < n:
+            free = np.flatnonzero(separator[to:])
+            edge = int(edges[np.searchsorted(edges, to)])
+            to = min(edge, to + int(free[0]) if len(free) else n)
+        out.append((at, to))
+        at = to
+    return out
+
+
 def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word of texts that lie end to end at ``ends`` in ``raw``; A-Z lower-cased."""
     buf = LOWER[raw[ends[0] : ends[-1]]]
-    n, edges = len(buf), ends - ends[0]
-    if not n:
+    edges = ends - ends[0]
+    if not len(buf):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    inside = ~SEPARATOR[buf]
-    edge = np.zeros(n + 1, bool)
-    edge[edges] = True
-    start = inside.copy()
-    start[1:] &= ~inside[:-1] | edge[1:n]
-    stop = inside.copy()
-    stop[:-1] &= ~inside[1:] | edge[1:n]
-    starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = _powers.upto(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((buf.astype(U) + U(1)) * up[:n], out=sums[1:])
-    return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U)), np.searchsorted(edges, starts, side="right") - 1
+    blank = SEPARATOR[buf]
+    hashes, owners = [], []
+    # A long text goes a piece at a time: only its words are held.
+    for at, to in pieces(blank, edges) if len(buf) > 2 * STEP_BYTES else [(0, len(buf))]:
+        part, inside = buf[at:to], ~blank[at:to]
+        own = edges[np.searchsorted(edges, at) : np.searchsorted(edges, to)] - at
+        edge = np.zeros(to - at + 1, bool)
+        edge[own] = True
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | edge[1 : to - at]
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:] | edge[1 : to - at]
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        hashes.append(spans_hashed(part, starts, stops))
+        owners.append(np.searchsorted(edges, starts + at, side="right") - 1)
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -189,21 +189,52 @@ def test_jaccard_bucket_without_probe(spark, monkeypatch):
     assert {x for pair in found for x in pair} == {*range(20), 99}
 
 
-def test_jaccard_members_of_failed_heads(spark):
-    """Where heads of two steps fail to link, what they stand for is searched again too."""
-    keys, ids = np.full(32, 5, np.uint64), np.arange(32)
-    probe = np.full(16, jaccard.PROBE)
-    steps = [jaccard.bucket_pairs(keys[own], probe, ids[own])[2] for own in (slice(0, 16), slice(16, 32))]
-    for pairs in steps:
-        pairs[:, 2] |= jaccard.STANDS
-    heads = jaccard.bucket_pairs(keys[:2], np.full(2, jaccard.HEAD | jaccard.PROBE), np.array([0, 16]))[2]
-    assert heads.tolist() == [[0, 16, jaccard.STAR | jaccard.HEADS]]
-    kind = "a long, b long, star int"
-    stars = spark.createDataFrame(np.concatenate([*steps, heads]).tolist(), kind)
-    found = jaccard.searched_again(spark.createDataFrame(heads.tolist(), kind), stars)
-    assert sorted(r["id"] for r in found.collect()) == [*range(32)]
-    member = jaccard.searched_again(stars.filter("a = 0 and b = 3"), stars)
-    assert sorted(r["id"] for r in member.collect()) == [0, 3]
+def large_set_with_one_of_many():
+    """Texts that share most shingles but don't link, and a longer text that holds one of them whole."""
+    common = [f"c{i}" for i in range(38)]
+    texts = [" ".join(common + [f"u{i}_{j}" for j in range(16)]) for i in range(20)]
+    rows = list(enumerate(texts)) + [(100, texts[5] + " " + " ".join(f"v{j}" for j in range(16)))]
+    want = brute_components(rows)
+    assert want[100][1] == 5
+    return rows, want
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_jaccard_however_dealt(spark, tmp_path, parts):
+    """A link with one member of a large bucket is found however the rows are dealt."""
+    rows, want = large_set_with_one_of_many()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in range(parts):
+        df.filter(F.col("doc_id") % 21 % parts == n).coalesce(1).write.parquet(f"{tmp_path}/docs", mode="append")
+    got = jaccard.join_components(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_jaccard_clusters(spark, monkeypatch):
+    """Clusters of several blocks: edits of one text, half of them too far from it, some in pairs of their own."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        own = base[:]
+        for at in rng.choice(90, int(rng.integers(1, 7)), replace=False):
+            own[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((500 + i, " ".join(own[:-1])))
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 20
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_jaccard_repeated_doc_id(spark):
+    """Rows with one doc_id and unlike texts have the links of each text."""
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, TEXT), (2, TEXT + " a"), (2, other), (3, other + " b"), (2, other)]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {r["component_id"] for r in got} == {1}
 
 
 def test_jaccard_links(spark):
