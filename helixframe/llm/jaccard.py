@@ -466,7 +466,7 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     pairs = scratch.table(of_reps(raw), "pairs")
     edges = pairs.filter(F.col("kind") == CLUSTER)
     clusters = scratch.table(clustered(edges, scratch), "clusters")
-    heads = clusters.groupBy("cluster").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("head"))
+    heads = scratch.table(clusters.groupBy("cluster").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("head")), "heads")
     leads = clusters.join(heads, "cluster").filter("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
     # Two members of one cluster are left to it.
     plain = _apart(pairs.filter(F.col("kind") == CANDIDATE), clusters.select(F.col("id").alias("node"), F.col("cluster").alias("component")))
@@ -479,14 +479,13 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     sets = once(sets)
     links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b"), "links-1")
     if not clusters.isEmpty():
-        parts = scratch.table(components(links, scratch, "first"), "parts-1")
-        links = links.unionByName(scratch.table(_cluster_links(clusters, heads, sets, parts, percent, scratch), "links-2"))
-    found = scratch.table(components(links, scratch, "last"), "parts-2")
+        links = links.unionByName(scratch.table(_cluster_links(clusters.join(heads, "cluster"), links, sets, percent, scratch), "links-2"))
+    found = scratch.table(components(links, scratch, "last"), "parts")
     named = reps.join(found, reps.rep == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "n_copies")
     # Rows that share a doc_id share its component.
     named = named.withColumn("component_id", F.min("component_id").over(Window.partitionBy("doc_id")))
     lone = meta.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    scratch.drop("raw", "pairs", "clusters", "asked", "nodes-1", "nodes-2", "outlines", "likely", "sets", "blocks", "links-1", "links-2", "parts-1")
+    scratch.drop("raw", "pairs", "clusters", "asked", "nodes-1", "nodes-2", "outlines", "likely", "sets", "blocks", "heads", "links-1", "links-2")
     return named.unionByName(lone)
 
 
@@ -559,19 +558,19 @@ def forest(x: Block, y: Block, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _cluster_links(clusters: DataFrame, heads: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """a, b: links between members of one cluster that the components ``parts`` (node, component) keep apart.
+def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: links between ``members`` (id, cluster, head) of one cluster beyond ``links`` (a, b) that join its components.
 
-    What is in the component of the cluster's head needs no comparison with
-    its like; all others meet every member of near size, block by block.
+    Members that link to the head need no comparison with their like; all
+    others meet every member of near size, block by block.
     """
-    spark = clusters.sparkSession
-    of = parts.select(F.col("node").alias("id"), "component")
-    placed = clusters.join(of, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("part"))
-    core = placed.join(heads.select(F.col("head").alias("id")), "id").select("cluster", F.col("part").alias("core"))
-    told = placed.join(core, "cluster").select("id", "cluster", "part", (F.col("part") != F.col("core")).alias("outlier"))
-    open_ = told.filter("outlier").select("cluster").distinct()
-    rows = told.join(open_, "cluster", "left_semi").join(sets, "id").select("cluster", "outlier", (F.octet_length("set") / 8).cast("long").alias("n"), "id", "part", "set")
+    spark = members.sparkSession
+    lead = members.withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")})
+    led = lead.join(links.withColumn("led", F.lit(True)).distinct(), ["a", "b"], "left")
+    told = led.select("id", "cluster", F.when(F.col("led") | (F.col("id") == F.col("head")), F.col("head")).otherwise(F.col("id")).alias("part"), "head")
+    told = scratch.table(told.withColumn("outlier", F.col("part") != F.col("head")).drop("head"), "told")
+    some = scratch.table(told.filter("outlier").select("cluster").distinct(), "some")
+    rows = told.join(some, "cluster", "left_semi").join(sets, "id").select("cluster", "outlier", (F.octet_length("set") / 8).cast("long").alias("n"), "id", "part", "set")
     rows = scratch.table(rows, "members")
     by = ["cluster", "outlier", "n", "id"]
 
@@ -600,7 +599,7 @@ def _cluster_links(clusters: DataFrame, heads: DataFrame, sets: DataFrame, parts
     kind = pa.schema([("cluster", pa.int64()), ("outlier", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("no", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "sets", "parts"))])
     dealt = rows.repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by).select("cluster", "outlier", "n", "id", "part", "set")
     blocks = scratch.table(dealt.mapInArrow(packed, "cluster long, outlier boolean, least long, most long, no long, ids binary, sizes binary, sets binary, parts binary"), "blocks")
-    scratch.drop("members")
+    scratch.drop("members", "told", "some")
     spans = blocks.select("cluster", "outlier", "least", "most", "no")
     x, y = spans.filter("outlier").alias("x"), spans.alias("y")
     near = (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)

@@ -330,3 +330,16 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, "/root/testdata/sf0.001")
         assert kept.columns == docs.columns and kept.count() > 0
+
+
+def test_components_by_steps(spark, monkeypatch):
+    """Steps over the corpus give what one task gives."""
+    from helixframe.llm import components
+
+    rng = np.random.default_rng(4)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(30)], "a long, b long")
+    scratch = Scratch(spark, "test-components")
+    one = {r["node"]: r["component"] for r in components.components(links.filter("a <> b"), scratch).collect()}
+    monkeypatch.setattr(components, "TASK_LINKS", 0)
+    assert {r["node"]: r["component"] for r in components.components(links.filter("a <> b"), scratch).collect()} == one
+    assert one[1030] == 1000
