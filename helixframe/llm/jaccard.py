@@ -572,7 +572,13 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
     some = scratch.table(told.filter("outlier").select("cluster").distinct(), "some")
     rows = told.join(some, "cluster", "left_semi").join(sets, "id").select("cluster", "outlier", (F.octet_length("set") / 8).cast("long").alias("n"), "id", "part", "set")
     rows = scratch.table(rows, "members")
-    by = ["cluster", "outlier", "n", "id"]
+    # A block is a share of the members of about one size: how many there are tells the number of shares.
+    grade = F.floor(2 * F.log2("n")).cast("int").alias("grade")
+    shares = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, 8 * F.sum("n") / BLOCK_BYTES)).alias("shares")
+    counts = scratch.table(rows.groupBy("cluster", "outlier", grade).agg(shares), "shares")
+    kinds = ["cluster", "outlier", "grade"]
+    rows = rows.withColumn("grade", grade).join(counts, kinds).withColumn("share", F.pmod(F.xxhash64("id"), "shares"))
+    by = [*kinds, "share"]
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -581,13 +587,13 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
         def closed() -> pa.RecordBatch:
             nonlocal number
             number += 1
-            ids, sizes, own = (np.array([r[c] for r in held], np.int64).tobytes() for c in ("id", "n", "part"))
-            ends = {"cluster": held[0]["cluster"], "outlier": held[0]["outlier"], "least": held[0]["n"], "most": held[-1]["n"], "no": TaskContext.get().partitionId() << 32 | number}
-            return pa.RecordBatch.from_pylist([{**ends, "ids": ids, "sizes": sizes, "sets": b"".join(r["set"] for r in held), "parts": own}], kind)
+            ids, sizes, own = (np.array([r[c] for r in held], np.int64) for c in ("id", "n", "part"))
+            ends = {"cluster": held[0]["cluster"], "outlier": held[0]["outlier"], "least": int(sizes.min()), "most": int(sizes.max()), "no": TaskContext.get().partitionId() << 32 | number}
+            return pa.RecordBatch.from_pylist([{**ends, "ids": ids.tobytes(), "sizes": sizes.tobytes(), "sets": b"".join(r["set"] for r in held), "parts": own.tobytes()}], kind)
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (len(held) == BLOCK_SETS or size + len(row["set"]) > BLOCK_BYTES or (row["cluster"], row["outlier"]) != (held[0]["cluster"], held[0]["outlier"])):
+                if held and (size + len(row["set"]) > 2 * BLOCK_BYTES or any(row[c] != held[0][c] for c in by)):
                     yield closed()
                     held.clear()
                     size = 0
@@ -597,9 +603,9 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
             yield closed()
 
     kind = pa.schema([("cluster", pa.int64()), ("outlier", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("no", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "sets", "parts"))])
-    dealt = rows.repartitionByRange(shuffle_width(spark), *by).sortWithinPartitions(*by).select("cluster", "outlier", "n", "id", "part", "set")
+    dealt = rows.repartition(shuffle_width(spark), *by).sortWithinPartitions(*by, "id").select(*by, "n", "id", "part", "set")
     blocks = scratch.table(dealt.mapInArrow(packed, "cluster long, outlier boolean, least long, most long, no long, ids binary, sizes binary, sets binary, parts binary"), "blocks")
-    scratch.drop("members", "told", "some")
+    scratch.drop("members", "told", "some", "shares")
     spans = blocks.select("cluster", "outlier", "least", "most", "no")
     x, y = spans.filter("outlier").alias("x"), spans.alias("y")
     near = (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
