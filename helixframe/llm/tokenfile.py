@@ -8,7 +8,8 @@ document, so each document is a slice of the compressed sequence and can be
 decoded by itself.
 
 Shard layout, little-endian: ``b"RPGS"``, u32 version, u32 documents, u32
-rules, u64 compressed ids, u32 first nonterminal; i64 doc_id of each document;
+rules, u64 compressed ids, u32 first nonterminal, u32 leading documents without
+a doc_id; i64 doc_id of each document;
 u32 ids of each document; u32 compressed ids of each document; the rules as
 pairs of u32; u32 expansion length of each rule; the compressed ids as u32
 in byte planes; all after the first nonterminal compressed by Zstandard.
@@ -19,10 +20,12 @@ order of their ids.  A null text is an empty document: the end id alone.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,59 +34,79 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import layout, steps
-from .bpe import Memo
+from .pieces import PieceTable
 from .scratch import Scratch, shuffle_width
+from .shingles import LOWER, SEPARATOR
 
 #: A shard is closed when it holds so many ids (or one document, if longer).
 SHARD_IDS = 1 << 18
 #: Pairs are replaced from this count in a shard on, so many of them in a round.
 LEAST_COUNT, RULES_A_ROUND = 16, 4096
-HEAD = struct.Struct("<4sIIIQI")
+HEAD = struct.Struct("<4sIIIQII")
 NULL_ID = -(1 << 63)
 
 
 class WordTokenizer:
-    """A tokenizers-library model with a memo of words.
+    """A tokenizers-library model with a table of words.
 
-    Only for tokenizers that lower-case, drop white space and split between
-    letters and other characters: a word's ids are then the same in any text
-    and case, and a blank between a letter and a mark after it changes nothing.
+    A tokenizer that lower-cases, drops white space and splits between letters
+    and other characters gives a word the same ids in any text and case, and
+    nothing changes between a letter and a mark after it.  Where the model has
+    another shape, and for texts with an added token or a sigma (whose lower
+    case hangs on its neighbours), texts go whole.
     """
 
-    MARK = re.compile(rb"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
-
-    ENTRIES, BYTES = 400_000, 64
+    #: The model's own definition of such a tokenizer.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+    LETTER[97:123] = True
+    MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as text:
-            self.model = Tokenizer.from_str(text.read())
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
-        self.memo = Memo(self.ENTRIES)
-
-    def words(self, text: bytes) -> list[bytes]:
-        lower = text.lower()  # A-Z alone; unless that makes up an added token
-        if any(lower.count(token) != text.count(token) for token in self.special):
-            return text.split()
-        return (lower if any(token in lower for token in self.special) else self.MARK.sub(b" ", lower)).split()
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words, memo = [self.words(text) for text in texts], self.memo
-        fresh: dict[bytes, bytes] = {}
-        missing = {word for own in words for word in own} - memo.young.keys()
-        for word in missing:
-            if (found := memo.old.get(word)) is not None:
-                fresh[word] = found
-        missing = [*(missing - fresh.keys())]
-        for word, made in zip(missing, self.model.encode_batch_fast([word.decode() for word in missing], add_special_tokens=False), strict=True):
-            fresh[word] = np.array(made.ids, dtype="<u4").tobytes()
-        known = memo.young.get
-        out = [np.frombuffer(b"".join([known(word) or fresh.get(word, b"") for word in own]), "<u4") for own in words]
-        for word, found in fresh.items():
-            if len(word) <= self.BYTES:
-                memo.put(word, found)
-        return out
+            made = text.read()
+        self.model = Tokenizer.from_str(made)
+        shape = json.loads(made)
+        cut = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        self.by_word = shape["normalizer"] == self.NORMALIZER and cut.get("pattern") == {"Regex": self.SPLIT} and cut.get("invert") is True
+        self.odd = re.compile(b"|".join([re.escape(t.content.encode()) for t in self.model.get_added_tokens_decoder().values()] + ["Σ".encode()]), re.IGNORECASE)
+        self.table = PieceTable(self.learn)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [x.ids for x in self.model.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def encode(self, raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text; texts lie end to end at ``ends`` in ``raw``."""
+        edges, own = ends - ends[0], raw[ends[0] : ends[-1]]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(edges) - 1)
+        if not len(own):
+            return out
+        data = own.tobytes()
+        whole = np.full(len(out), not self.by_word)
+        whole[[int(np.searchsorted(edges, m.start(), side="right")) - 1 for m in self.odd.finditer(data)]] = True
+        buf = LOWER[own]
+        inside = ~SEPARATOR[buf]
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[edges] = True
+        start, stop = inside.copy(), inside.copy()
+        cut = ~inside[:-1] | edge[1 : len(buf)] | (self.LETTER[buf[:-1]] & self.MARK[buf[1:]])
+        start[1:] &= cut
+        stop[:-1] &= ~inside[1:] | cut
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        if whole.any():
+            kept = ~whole[np.searchsorted(edges, starts, side="right") - 1]
+            starts, stops = starts[kept], stops[kept]
+            places = np.flatnonzero(whole & (np.diff(edges) > 0))
+            ids, counts = self.learn([data[edges[i] : edges[i + 1]] for i in places])
+            for i, made in zip(places.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                out[i] = made
+        ids, counts = self.table.encode(buf, starts, stops)
+        cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, edges)].tolist()
+        return [ids[a:b] if b > a else empty for a, b, empty in zip(cuts, cuts[1:], out, strict=False)]
 
 
 _models: dict[str, WordTokenizer] = {}
@@ -96,19 +119,21 @@ def model(path: str) -> WordTokenizer:
     return _models[path]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary, u16 where all fit, marked by a first byte) of every row of ``docs``."""
+def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[int]) -> DataFrame:
+    """part, key, ids of every row of ``docs``: ids as packed binary, part the range between ``cuts`` that the key is in."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
             raw, ends = layout(batch.column("text"))
+            keys = batch.column("key").to_numpy()
+            parts = np.searchsorted(np.array(cuts, np.int64), keys, side="left").astype(np.int32)
             for at, to in steps(ends):
-                texts = [raw[ends[i] : ends[i + 1]].tobytes() for i in range(at, to)]
-                blobs = [pack_ids(np.append(ids, np.uint32(end_id))) for ids in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+                blobs = [pack_ids(np.append(ids, np.uint32(end_id))) for ids in own.encode(raw, ends[at : to + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(parts[at:to]), batch.column("key").slice(at, to - at), batch.column("no_id").slice(at, to - at), pa.array(blobs, pa.binary())], ["part", "key", "no_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
+    return keyed.mapInArrow(run, "part int, key long, no_id boolean, ids binary")
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -183,9 +208,9 @@ def repair(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sequence.astype(np.uint32), own, made, np.concatenate(expansion)[first:], first
 
 
-def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def write_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, no_ids: int = 0) -> bytes:
     sequence, own, rules, expansion, first = repair(ids, lengths)
-    head = HEAD.pack(b"RPGS", 1, len(doc_ids), len(rules), len(sequence), first)
+    head = HEAD.pack(b"RPGS", 2, len(doc_ids), len(rules), len(sequence), first, no_ids)
     narrow = [x.astype("<u4").tobytes() for x in (lengths, own, rules, expansion)]
     planes = sequence.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if len(sequence) else b""
     body = b"".join([doc_ids.astype("<i8").tobytes(), *narrow, planes])
@@ -196,8 +221,8 @@ class Shard:
     """Reader of one shard; documents decode one by one or all at once."""
 
     def __init__(self, blob: bytes):
-        magic, version, docs, rules, size, self.first = HEAD.unpack_from(blob)
-        if magic != b"RPGS" or version != 1:
+        magic, version, docs, rules, size, self.first, self.no_ids = HEAD.unpack_from(blob)
+        if magic != b"RPGS" or version != 2:
             raise ValueError("not a token shard")
         body = zstandard.ZstdDecompressor().decompress(blob[HEAD.size :])
         self.doc_ids = np.frombuffer(body, "<i8", docs)
@@ -253,28 +278,31 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
     """
     spark = docs.sparkSession
     parts = parts or shuffle_width(spark)
-    dealt = encoded(docs, tokenizer, end_id).withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    dealt = dealt.repartitionByRange(parts, "key").sortWithinPartitions("key", "ids").select("key", "ids", F.spark_partition_id().alias("part"))
+    # Cuts come from the doc_ids alone, so texts are encoded once.
+    shares = F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), 100 * parts) if parts > 1 else F.lit(None)
+    cuts = sorted(set(docs.agg(shares).first()[0] or []))
+    dealt = encoded(docs, tokenizer, end_id, cuts).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "key", F.desc("no_id"), "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
         held: list[np.ndarray] = []
-        size = seq = part = 0
+        size = seq = part = no_ids = 0
 
         def closed() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in held], np.int64)
-            blob = write_shard(np.array(keys, np.int64), lengths, np.concatenate(held))
+            blob = write_shard(np.array(keys, np.int64), lengths, np.concatenate(held), no_ids)
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_doc": pa.array([keys[0]], pa.int64()), "docs": pa.array([len(keys)], pa.int64()), "ids": pa.array([int(lengths.sum())], pa.int64()), "shard": pa.array([blob], pa.binary())}
             )
 
         for batch in batches:
-            for key, blob, number in zip(batch.column("key").to_pylist(), batch.column("ids"), batch.column("part").to_pylist(), strict=True):
+            for key, blob, number, no_id in zip(batch.column("key").to_pylist(), batch.column("ids"), batch.column("part").to_pylist(), batch.column("no_id").to_pylist(), strict=True):
                 ids = unpack_ids(blob.as_py())
-                if held and size + len(ids) > SHARD_IDS:
+                if held and (size + len(ids) > SHARD_IDS or number != part):
                     yield closed()
-                    keys, held, size, seq = [], [], 0, seq + 1
+                    keys, held, size, seq, no_ids = [], [], 0, seq + 1, 0
                 part = number
+                no_ids += no_id
                 keys.append(key)
                 held.append(ids)
                 size += len(ids)
@@ -287,9 +315,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Shard rows of a folder with ``base``: ids in all shards before this one."""
     shards = spark.read.schema("part int, seq int, first_doc long, docs long, ids long, shard binary").parquet(path)
-    # One row for a shard of a quarter of a million ids, without the shard itself: small at any size.
-    bases = shards.select("part", "seq", "ids").withColumn("base", F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
-    return shards.drop("ids").join(bases.select("part", "seq", F.coalesce("base", F.lit(0)).alias("base")), ["part", "seq"])
+    # Ids before each part: one row for a part.  Within a part, shards are summed in order.
+    starts, before = [], 0
+    for row in shards.groupBy("part").agg(F.sum("ids").alias("n")).orderBy("part").collect():
+        starts.append((row["part"], before))
+        before += row["n"]
+    offsets = spark.createDataFrame(starts, "part int, before long")
+    earlier = F.sum("ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    bases = shards.select("part", "seq", F.coalesce(earlier, F.lit(0)).alias("own")).join(F.broadcast(offsets), "part")
+    return shards.drop("ids").join(bases.select("part", "seq", (F.col("own") + F.col("before")).alias("base")), ["part", "seq"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -303,7 +337,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(shard.lengths)
                 sums = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), shard.lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NULL_ID), pa.array(base + ends - shard.lengths, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(shard.doc_ids, pa.int64(), mask=np.arange(len(ends)) < shard.no_ids), pa.array(base + ends - shard.lengths, pa.int64()), pa.array(shard.lengths, pa.int64()), pa.array(sums, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
