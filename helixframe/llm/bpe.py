@@ -5,8 +5,10 @@ a rank queue.  The queue has one bucket of positions for each merge rank and a
 hierarchical bitmap over the ranks: find-first-set on its two levels gives the lowest rank with an entry.  Positions live on a linked list;
 an entry whose pair has since changed is stale and skipped.  A match of n
 bytes costs O(n log n) whatever its length, so very long matches are safe.
-All matches of a batch that no memo has share one queue, which spares a search
-for each of the many short ones.
+All matches of a batch that no table has share one queue, and a bucket is merged
+as a whole: matches never touch each other, and of overlapping places in one
+match every other one from the left counts.  A few tokens are part of one of
+lower rank, which has to go first; of those, a match merges one place at a time.
 """
 
 from __future__ import annotations
@@ -15,21 +17,25 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrowtext import layout, steps
+from .pieces import PieceTable
 
 #: Texts are encoded together up to so many bytes.
-STEP_BYTES = 2 << 20
-#: Entries in one generation of a memo; a worker keeps two memos of two generations.
-MEMO_ENTRIES = 200_000
-#: Longer chunks are not kept in the memo.
-MEMO_CHARS = 48
+STEP_BYTES = 1 << 20
+#: Fixed value: the pattern whose matches never run from a word into the blanks after it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: ASCII letters, and digits and marks: no match of that pattern has one of these after a letter.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[33:127] = ~LETTER[33:127]
+#: First bytes of white space other than the blank and the line end, in UTF-8.
+OTHER_SPACE = np.zeros(256, bool)
+OTHER_SPACE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,7 +70,7 @@ class RankQueue:
         self.top |= 1 << word
 
     def pop(self) -> tuple[int, list[int]]:
-        """The lowest rank and its bucket; only where ``top`` is not 0."""
+        """The lowest marked rank and what was pushed for it; only where ``top`` is not 0."""
         top = self.top
         word = (top & -top).bit_length() - 1
         bits = self.low[word]
@@ -73,30 +79,25 @@ class RankQueue:
         self.low[word] = bits = bits ^ first
         if not bits:
             self.top = top & (top - 1)
-        bucket = self.buckets.pop(rank)
-        if len(bucket) > 1:
-            bucket.sort()
-        return rank, bucket
+        return rank, self.buckets.pop(rank, [])
 
 
-class Memo:
-    """Two generations of remembered values: what is still in use survives, memory is bounded."""
+class PairRanks:
+    """Rank of the token that two tokens make, for arrays of them; -1 if none."""
 
-    def __init__(self, entries: int):
-        self.entries, self.young, self.old = entries, {}, {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=0) + 1
+        made = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        made.sort()
+        self.keys, self.ranks = (np.array([m[c] for m in made] + [-1 if c else 1 << 62], np.int64) for c in (0, 1))
+        self.part_of_lower = np.zeros(self.size, bool)
+        self.part_of_lower[[part for key, r in made for part in divmod(key, self.size) if part > r]] = True
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
 
 
 class ByteBPE:
@@ -108,106 +109,107 @@ class ByteBPE:
         self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.pairs = PairRanks(ranks)
+        self.first_pairs = self.pairs.of(np.repeat(self.pairs.byte, 256), np.tile(self.pairs.byte, 256))
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.memo, self.chunk_memo = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)
-        # A run of blanks belongs to the word after it: the pattern never matches across the end
-        # of a word, so such chunks can be encoded apart.  Texts with other white space go whole.
-        self.chunks = re.compile("[ \\n]*[^ \\n]+|[ \\n]+").findall
+        # A run of blanks belongs to the word after it: the pattern never matches across the end of a
+        # word, so such chunks can be encoded apart.  Texts with other white space, and other patterns, go whole.
+        self.chunked = pattern == WORD_PATTERN
         self.other_space = re.compile("[^\\S \\n]").search
-
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each match of the pattern; the matches share one queue but never merge."""
-        data, ends = b"".join(pieces), list(accumulate(map(len, pieces)))
-        n, ranks, queue = len(data), self.ranks, self.queue
-        rank_of, push = ranks.get, queue.push
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        pair = [rank_of(data[i : i + 2], -1) for i in range(n)]
-        for stop in ends:
-            if stop:
-                after[stop - 1] = pair[stop - 1] = -1
-                if stop < n:
-                    before[stop] = -1
-        buckets = queue.buckets
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-        for rank in buckets:
+        self.table = PieceTable(self.learn)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids end to end, number of them) of each match of the pattern; the matches share one queue but never merge."""
+        data, sizes = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n, queue, pairs = len(data), self.queue, self.pairs
+        if not n:
+            return np.zeros(0, np.uint32), sizes
+        ends = np.cumsum(sizes)
+        starts, stops = (ends - sizes)[sizes > 0], ends[sizes > 0] - 1
+        token, gone = pairs.byte[data], np.zeros(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[stops] = before[starts] = -1
+        pair = np.full(n, -1, np.int64)
+        pair[:-1] = self.first_pairs[data[:-1] << 8 | data[1:]]
+        pair[stops] = -1
+        # The first entries of the buckets: places by rank, from left to right.
+        places = np.flatnonzero(pair >= 0)
+        places = places[np.argsort(pair[places], kind="stable")]
+        own, first = np.unique(pair[places], return_index=True)
+        entries = dict(zip(own.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(places)], strict=True), strict=True))
+        for rank in entries:
             queue.mark(rank)
         while queue.top:
-            rank, bucket = queue.pop()
-            for at, i in enumerate(bucket):
-                if pair[i] != rank:
-                    continue  # stale: this pair has changed or its left part is gone
-                j = after[i]
-                right, left, lowest = after[j], before[i], rank + 1
-                pair[j] = -1
-                stop = end[i] = end[j]
-                after[i] = right
-                if right >= 0:
-                    before[right] = i
-                    pair[i] = new = rank_of(data[i : end[right]], -1)
-                    if new >= 0:
-                        push(new, i)
-                        lowest = new
-                else:
-                    pair[i] = -1
-                if left >= 0:
-                    new = rank_of(data[left:stop], -1)
-                    if new != pair[left]:
-                        pair[left] = new
-                        if new >= 0:
-                            push(new, left)
-                            if new < lowest:
-                                lowest = new
-                if lowest <= rank:  # that one goes first
-                    for i in bucket[at + 1 :]:
-                        push(rank, i)
-                    break
-        out, start = [], 0
-        for stop in ends:
-            ids, i = [], start
-            while i >= 0 and i < stop:
-                ids.append(ranks[data[i : end[i]]])
-                i = after[i]
-            out.append(ids)
-            start = stop
-        return out
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that no memo has."""
-        cut = {chunk: self.pieces(chunk) for chunk in chunks}
-        known, fresh = {}, {}
-        for piece in {piece for pieces in cut.values() for piece in pieces}:
-            if (found := self.memo.get(piece)) is None:
-                fresh[piece] = piece.encode()
-            else:
-                known[piece] = found
-        for piece, ids in zip(fresh, self.merge([*fresh.values()]), strict=True):
-            known[piece] = found = pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= MEMO_CHARS:
-                self.memo.put(piece, found)
-        return {chunk: b"".join(map(known.__getitem__, pieces)) for chunk, pieces in cut.items()}
+            rank, pushed = queue.pop()
+            a, b = entries.pop(rank, (0, 0))
+            at = np.unique(np.concatenate([places[a:b], np.array(pushed, np.int64)])) if pushed else places[a:b]
+            at = at[pair[at] == rank]  # others are stale: the pair has changed or its left part is gone
+            if not len(at):
+                continue
+            if pairs.part_of_lower[rank] and len(at) > 1:
+                own = np.searchsorted(ends, at, side="right")
+                first = np.concatenate(([True], own[1:] != own[:-1]))
+                if not first.all():
+                    queue.buckets[rank] = at[~first].tolist()
+                    queue.mark(rank)
+                at = at[first]
+            joined = after[at]
+            if len(at) > 1 and (chained := joined[:-1] == at[1:]).any():
+                heads = np.flatnonzero(np.concatenate(([True], ~chained)))
+                taken = (np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))) % 2 == 0
+                at, joined = at[taken], joined[taken]
+            right = after[joined]
+            token[at], after[at], gone[joined], pair[joined], pair[at] = rank, right, True, -1, -1
+            more = right >= 0
+            left, right = at[more], right[more]
+            before[right] = left
+            lower = before[at]
+            some = lower >= 0
+            lower, upper = lower[some], at[some]
+            changed = np.concatenate([left, lower])
+            made = pairs.of(token[changed], token[np.concatenate([right, upper])])
+            pair[changed] = made
+            kept = made >= 0
+            for new, place in zip(made[kept].tolist(), changed[kept].tolist(), strict=True):
+                queue.push(new, place)
+        kept = np.concatenate(([0], np.cumsum(~gone)))
+        return token[~gone].astype(np.uint32), kept[ends] - kept[ends - sizes]
+
+    def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of them) of each chunk, its matches merged with those of all others."""
+        cut = [self.pieces(chunk.decode()) for chunk in chunks]
+        ids, counts = self.merge([piece.encode() for pieces in cut for piece in pieces])
+        total = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, cut)])]
+        return ids, np.diff(total)
+
+    def encode_bytes(self, raw: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of each whole text as little-endian unsigned 32-bit integers; texts lie end to end at ``ends`` in ``raw``."""
+        edges = ends - ends[0]
+        buf = raw[ends[0] : ends[-1]]
+        if not len(buf):
+            return [b""] * (len(ends) - 1)
+        # A chunk starts with a text, with a blank after another character, or with a mark after a letter.
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[edges] = True
+        blank = (buf == 32) | (buf == 10)
+        start = edge[:-1].copy()
+        start[1:] |= (blank[1:] & ~blank[:-1]) | (LETTER[buf[:-1]] & MARK[buf[1:]])
+        odd = np.flatnonzero(OTHER_SPACE[buf])
+        for i in np.unique(np.searchsorted(edges, odd, side="right") - 1).tolist() if self.chunked else range(len(edges) - 1):
+            a, b = int(edges[i]), int(edges[i + 1])
+            if not self.chunked or self.other_space(buf[a:b].tobytes().decode()):
+                start[a + 1 : b] = False
+        starts = np.flatnonzero(start)
+        ids, counts = self.table.encode(buf, starts, np.append(starts[1:], len(buf)))
+        cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, edges)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers."""
-        memo = self.chunk_memo
-        cut = [[text] if self.other_space(text) else self.chunks(text) for text in texts]
-        fresh: dict[str, bytes] = {}
-        missing = {chunk for chunks in cut for chunk in chunks} - memo.young.keys()
-        for chunk in [*missing]:
-            if (found := memo.old.get(chunk)) is not None:
-                fresh[chunk] = found
-        fresh |= self._learn(missing - fresh.keys())
-        out = [b"".join([known(chunk) or fresh[chunk] for chunk in chunks]) for known in (memo.young.get,) for chunks in cut]
-        for chunk, found in fresh.items():
-            if len(chunk) <= MEMO_CHARS:
-                memo.put(chunk, found)
-        return out
+        own = [text.encode() for text in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in own], dtype=np.int64))))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -224,10 +226,11 @@ def codec(path: str, pattern: str) -> ByteBPE:
     return _codecs[path, pattern]
 
 
-def _steps(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """The column's texts, some at a time; null is empty."""
-    for at, to in steps(layout(column)[1], STEP_BYTES):
-        yield at, [x or "" for x in column.slice(at, to - at).to_pylist()]
+def _encoded(bpe: ByteBPE, column: pa.Array) -> Iterator[list[bytes]]:
+    """Ids of the column's texts, some at a time; null is empty."""
+    raw, ends = layout(column)
+    for at, to in steps(ends, STEP_BYTES):
+        yield bpe.encode_bytes(raw, ends[at : to + 1])
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -242,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            made = pa.array([ids for _, own in _steps(batch.column(text)) for ids in bpe.encode(own)], pa.binary())
+            made = pa.array([ids for own in _encoded(bpe, batch.column(text)) for ids in own], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), made], [*kept, ids])
 
     return docs.select(*kept).mapInArrow(run, schema)
@@ -274,8 +277,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = codec(path, pattern)
         for batch in batches:
             counts, sums, decoded = [], [], []
-            for _, texts in _steps(batch.column("text")):
-                for ids in bpe.encode(texts):
+            for own in _encoded(bpe, batch.column("text")):
+                for ids in own:
                     counts.append(len(ids) // 4)
                     sums.append(hashlib.sha256(ids).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
