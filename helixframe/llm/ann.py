@@ -6,6 +6,10 @@ queue holds the branches not yet taken, nearest first, and gives leaves in the
 order in which they are visited.  How many leaves a query visits is
 calibrated: the number is widened until a sample of queries, searched by brute
 force over all rows, reaches the recall asked for.
+
+A leaf's vectors stream past the queries that visit it; a task keeps the best
+of each query over all its leaves and sends no others.  A leaf of many rows is
+dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -19,10 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import BLOCK, best, blob, each_row, gathered, matrix, ranked, sent, usable
-
-#: Vectors the tree is fitted on, branches of a node, depth, and the fewest vectors of the sample that are split.
-SAMPLE, BRANCHES, DEPTH, LEAST = 8192, 8, 3, 64
+from .scratch import shuffle_width
+from .vectors import BLOCK, asked_once, best, matrix, ranked, usable
+
+#: Vectors the tree is fitted on at most, branches of a node, and the fewest vectors of the sample that are split.
+SAMPLE, BRANCHES, LEAST = 65_536, 8, 64
+#: Rows for a vector of the sample (but for the first 8,192), rows of a leaf to aim for, and levels at least and at most.
+SAMPLED, LEAF_ROWS, DEPTHS = 64, 512, (3, 5)
+#: Rows of a leaf that one task takes, and queries whose best a task holds before it sends them.
+SALT_ROWS, HELD = 100_000, 50_000
 #: Queries of the calibration, and the recall they must reach.
 CALIBRATION, RECALL = 96, 0.97
 
@@ -30,12 +39,13 @@ CALIBRATION, RECALL = 96, 0.97
 class Tree:
     """Nodes as arrays: children of node i are ``children[i]``; a leaf has a number in ``leaf``."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 5):
+    def __init__(self, sample: np.ndarray, depth: int = DEPTHS[0], seed: int = 5):
         self.centres: list[np.ndarray] = [sample.mean(0) if len(sample) else np.zeros(sample.shape[1])]
         self.children: list[list[int]] = [[]]
         self.leaf: list[int] = [-1]
         self.leaves = 0
-        self._split(0, sample, DEPTH, np.random.default_rng(seed))
+        self._split(0, sample, depth, np.random.default_rng(seed))
+        self.matrix = np.stack(self.centres)
 
     def _split(self, node: int, points: np.ndarray, depth: int, rng: np.random.Generator) -> None:
         groups = self._kmeans(points, rng) if depth and len(points) >= LEAST else []
@@ -75,7 +85,7 @@ class Tree:
 
     def walk(self, query: np.ndarray, leaves: int) -> list[int]:
         """The first leaves that best-bin-first traversal visits."""
-        far = ((np.stack(self.centres) - query) ** 2).sum(1)
+        far = ((self.matrix - query) ** 2).sum(1)
         heap, out = [(far[0], 0)], []
         while heap and len(out) < leaves:
             _, node = heapq.heappop(heap)
@@ -92,9 +102,23 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1)[None, :] - 2 * points @ centres.T).argmin(1)
 
 
-def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, each summed in the same order whatever the shapes, so equal vectors tie."""
-    return np.einsum("ij,kj->ik", q, x, optimize=False)
+def top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of q, ids, scores) of the k best of each query in a batch, never its own id.
+
+    A matrix product finds the candidates; scores are then summed in one order
+    whatever the shapes, so equal vectors tie.
+    """
+    rough = q @ own.T
+    slack = 1e-12 * (1 + np.sqrt((q**2).sum(1)) * np.sqrt((own**2).sum(1).max(initial=0)))
+    for i, scores in enumerate(rough):
+        scores[ids == q_ids[i]] = -np.inf
+        near = np.flatnonzero(scores > -np.inf)
+        if len(near) > k:
+            places = best(scores[near], ids[near], k)
+            near = near[scores[near] >= scores[near[places[-1]]] - slack[i]]
+        exact = np.einsum("ij,j->i", own[near], q[i], optimize=False)
+        places = best(exact, ids[near], k)
+        yield i, ids[near[places]], exact[places]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -106,6 +130,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     shorter ones are continued by zeros.  Scores are inner products of the
     original vectors in double precision; ties go to the smaller id.  Where
     the leaves visited hold fewer than k candidates, the query visits all.
+    Rows that repeat an id are one candidate, whose best vector counts; a
+    repeated query id asks with the smallest of its vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -120,50 +146,64 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             out[i, : len(vec)] = vec
         return found["id"].to_numpy(np.int64), out
 
-    tree = Tree(bounded(rows, SAMPLE)[1])
-    block_type = pa.schema([("leaf", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary())])
+    total = rows.count()
+    sample = min(SAMPLE, max(8192, total // SAMPLED))
+    depth = min(DEPTHS[1], max(DEPTHS[0], int(np.ceil(np.log(max(1, total / LEAF_ROWS)) / np.log(BRANCHES)))))
+    tree = Tree(bounded(rows, sample)[1], depth)
 
     def indexed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sent(cut(batches), block_type)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for ids, own in gathered(batches, width):
-            leaf = np.concatenate([tree.assign(own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)])
-            order = np.argsort(leaf, kind="stable")
-            for members in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-                for start in range(0, len(members), BLOCK):
-                    rows = members[start : start + BLOCK]
-                    yield int(leaf[rows[0]]), blob(ids[rows]), blob(own[rows])
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                leaf = tree.assign(matrix(part.column("vec"), width))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), part.column("id"), part.column("vec")], ["leaf", "id", "vec"])
 
-    blocks = scratch.table(rows.mapInArrow(indexed, "leaf int, ids binary, vecs binary"), "blocks")
+    index = scratch.table(rows.mapInArrow(indexed, "leaf int, id long, vec array<double>"), "index")
+    # One row for a leaf.
+    salts = {r["leaf"]: -(-r["n"] // SALT_ROWS) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    queries = scratch.table(asked_once(rows.filter(is_query)), "queries")
 
     # Calibration: true neighbours of some queries among all rows, and the leaves they are in.
-    some_ids, some = bounded(rows.filter(is_query), CALIBRATION)
-    found_type = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())])
-
-    def scored(q_ids: np.ndarray, q: np.ndarray, row: dict) -> Iterator[pa.RecordBatch]:
-        ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vecs"]).reshape(-1, width)
-        out: list[tuple[np.ndarray, ...]] = []
-        for start in range(0, len(q), 256):
-            for q_id, scores in zip(q_ids[start : start + 256], inner(q[start : start + 256], own), strict=True):
-                others = np.flatnonzero(ids != q_id)
-                top = others[best(scores[others], ids[others], k)]
-                out.append((np.full(len(top), q_id), ids[top], scores[top]))
-        if out:
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*out, strict=True)), pa.array(np.full(sum(len(x[0]) for x in out), row["leaf"], np.int32))], schema=found_type)
+    some_ids, some = bounded(queries, CALIBRATION)
+    found_type = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    found = "query_id long, vec_id long, score double"
+
+    class Best:
+        """The k best of each query that a task has met."""
+
+        def __init__(self) -> None:
+            self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def meet(self, q_ids: np.ndarray, q: np.ndarray, batch: pa.RecordBatch) -> None:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                ids, own = part.column("id").to_numpy(), matrix(part.column("vec"), width)
+                for first in range(0, len(q), 256):
+                    for i, new, scores in top(q_ids[first : first + 256], q[first : first + 256], ids, own, k):
+                        q_id = int(q_ids[first + i])
+                        if (had := self.held.get(q_id)) is not None:
+                            new, scores = np.concatenate([had[0], new]), np.concatenate([had[1], scores])
+                            places = best(scores, new, k)
+                            new, scores = new[places], scores[places]
+                        self.held[q_id] = new, scores
+
+        def sent(self) -> Iterator[pa.RecordBatch]:
+            if self.held:
+                sizes = [len(x) for x, _ in self.held.values()]
+                columns = np.repeat([*self.held], sizes), *(np.concatenate(x) for x in zip(*self.held.values(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, found_type.types, strict=True)], schema=found_type)
+                self.held.clear()
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
-            yield from scored(some_ids, some, row)
-
-    found = "query_id long, vec_id long, score double, leaf int"
-    truth = blocks.mapInArrow(brute, found)
-    from pyspark.sql import Window
+        kept = Best()
+        for batch in batches:
+            kept.meet(some_ids, some, batch)
+        yield from kept.sent()
 
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    truth_rows = truth.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "leaf").collect()  # k for each of the sample
+    # k rows for each of the sample.
+    truth = ranked(index.select("id", "vec").mapInArrow(brute, found), k).join(index.select(F.col("id").alias("vec_id"), "leaf"), "vec_id")
     leaves_of: dict[int, list[int]] = {}
-    for row in truth_rows:
+    for row in truth.groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).collect():
         leaves_of.setdefault(row["query_id"], []).append(row["leaf"])
     reached = np.zeros(tree.leaves + 1)
     for q_id, vec in zip(some_ids.tolist(), some, strict=True):
@@ -174,34 +214,59 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         if not own:
             reached += 1
     wanted = recall * max(1, len(some_ids))
-    visits = int(np.argmax(reached >= wanted)) if len(some_ids) and reached[-1] >= wanted - 1e-9 else tree.leaves
+    visits = int(np.argmax(reached >= wanted - 1e-9)) if len(some_ids) and reached[-1] >= wanted - 1e-9 else tree.leaves
     visits = max(1, visits)
 
     def visiting(count: int):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(start, BLOCK)
-                    ids, own = part.column("id").to_numpy(), matrix(part.column("vec"), width)
-                    of: dict[int, list[int]] = {}
-                    for i, vec in enumerate(own):
-                        for leaf in tree.walk(vec, count):
-                            of.setdefault(leaf, []).append(i)
-                    yield from sent(((leaf, blob(ids[r]), blob(own[r])) for leaf, r in of.items()), block_type)
+                for start in range(0, batch.num_rows, 64):
+                    part = batch.slice(start, 64)
+                    taken = [(i, leaf, salt) for i, vec in enumerate(matrix(part.column("vec"), width)) for leaf in tree.walk(vec, count) for salt in range(salts.get(leaf, 0))]
+                    if taken:
+                        row, leaf, salt = (np.array(c, np.int32) for c in zip(*taken, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(salt), part.column("id").take(pa.array(row)), part.column("vec").take(pa.array(row))], ["leaf", "salt", "id", "vec"])
 
         return run
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_row(batches):
-            yield from scored(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vecs"]).reshape(-1, width), row)
+        """Rows by (leaf, salt), queries first."""
+        kept, current = Best(), None
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            leaf, salt, candidate = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "salt", "candidate"))
+            cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (salt[1:] != salt[:-1]) | (candidate[1:] != candidate[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if (place := (int(leaf[a]), int(salt[a]))) != current:
+                    current, asked = place, []
+                    if len(kept.held) > HELD:
+                        yield from kept.sent()
+                if not candidate[a]:
+                    asked.append((part.column("id").to_numpy(), matrix(part.column("vec"), width)))
+                elif asked:
+                    if len(asked) > 1:
+                        asked = [tuple(np.concatenate(x) for x in zip(*asked, strict=True))]
+                    kept.meet(*asked[0], part)
+        yield from kept.sent()
+
+    several = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for leaf, n in salts.items() if n > 1 for x in (leaf, n)) or (F.lit(-1), F.lit(1))), "leaf"), F.lit(1)) if any(n > 1 for n in salts.values()) else F.lit(1)
+    given = index.select("leaf", F.pmod(F.xxhash64("id", F.lit(3)), several).cast("int").alias("salt"), F.lit(True).alias("candidate"), "id", "vec")
 
     def visited(queries: DataFrame, count: int) -> DataFrame:
-        asked = queries.mapInArrow(visiting(count), "leaf int, ids binary, vecs binary").select("leaf", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-        return ranked(blocks.join(asked, "leaf").mapInArrow(meet, found).drop("leaf"), k)
+        asked = queries.mapInArrow(visiting(count), "leaf int, salt int, id long, vec array<double>").withColumn("candidate", F.lit(False))
+        both = given.unionByName(asked).repartition(shuffle_width(spark), "leaf", "salt").sortWithinPartitions("leaf", "salt", "candidate")
+        return ranked(both.mapInArrow(meet, found), k)
 
-    queries = rows.filter(is_query)
     first = scratch.table(visited(queries, visits), "first")
     if visits >= tree.leaves:
         return first
-    full = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
-    return first.join(full, first.query_id == full.id, "left_semi").unionByName(visited(queries.join(full, "id", "left_anti"), tree.leaves))
+    # Only these have less than they could: all rows are searched for them.
+    short = queries.join(first.filter(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    short = scratch.table(short, "short")
+    if total <= k or short.isEmpty():
+        return first if total > k else visited(queries, tree.leaves)
+    full = first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*first.columns)
+    return full.unionByName(visited(short, tree.leaves))

@@ -85,19 +85,31 @@ def blob(array: np.ndarray) -> bytes:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids, best first."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= least)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
+    """Places of the k highest scores of different ids, ties to smaller ids, best first."""
+    wanted = k
+    while True:
+        if len(scores) > wanted:
+            least = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
+            places = np.flatnonzero(scores >= least)
+        else:
+            places = np.arange(len(scores))
+        places = places[np.lexsort((ids[places], -scores[places]))]
+        _, first = np.unique(ids[places], return_index=True)
+        if len(first) >= k or len(places) == len(scores):
+            return places[np.sort(first)[:k]]
+        wanted = 2 * len(places)  # an id that comes often took the places
+
+
+def asked_once(rows: DataFrame) -> DataFrame:
+    """Queries (id, vec), one for an id: a repeated id asks with the smallest of its vectors."""
+    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of the candidates found for each query."""
+    """query_id, rank, vec_id, score: the k best of the candidates found for each query, each id once."""
     from pyspark.sql import Window
 
-    # A query has k rows at most from each block that it visits.
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # A query has k rows at most from each task that it visits.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
