@@ -23,18 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .vectors import BLOCK, best, blob, each_row, gathered, matrix, ranked, sent, usable
+from .vectors import BLOCK, asked_once, best, blob, each_row, gathered, matrix, ranked, sent, usable
 
-PIVOTS = 32
+#: Pivots, at least and at most, and rows for one of them in between.
+PIVOTS, CELL_ROWS = (32, 1024), 32_768
 #: Vectors from which the pivots are taken, and those in an annulus.
 SAMPLE, ANNULUS = 4096, 512
-#: Products of integers up to this size are exact in float64 for 2^11 components.
-EXACT = 1 << 21
+#: Sums of integers up to this size are exact in float64.
+EXACT = 1 << 53
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of integer-valued matrices, exactly (in 64-bit integers where float64 would round)."""
-    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) <= EXACT:
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < EXACT:
         return (a @ b.T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
@@ -90,20 +91,22 @@ def search_block(block_ids, block, radii, q_ids, q, q_dist, limit, k, base):
         yield row, ids, scores
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     Queries are the rows of ``vectors`` for which ``is_query`` (over a column
     ``id``) holds; candidates are all rows but those with the query's own id.
     Vectors with a null or non-finite component, and null ids, take no part;
-    shorter vectors are continued by zeros.  Ties go to the smaller id.
+    shorter vectors are continued by zeros.  Ties go to the smaller id.  Rows
+    that repeat an id are one candidate, whose best vector counts; a repeated
+    query id asks with the smallest of its vectors.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = usable(vectors, id_col, vector_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")))
     rows = scratch.table(rows, "rows")
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    stats = rows.agg(F.max(F.size("vec")), F.max(norm)).first()
+    stats = rows.agg(F.max(F.size("vec")), F.max(norm), F.count("*")).first()
     width, largest = int(stats[0] or 0), float(stats[1] or 0.0)
     # The sample is the rows with the smallest hashes: the same in every run.
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
@@ -111,7 +114,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     for i, vec in enumerate(sample):
         points[i, : len(vec)] = vec
     points[:, width] = np.sqrt(np.maximum(0, largest - (points**2).sum(1)))
-    centres = choose_pivots(points, pivots)
+    centres = choose_pivots(points, pivots or min(PIVOTS[1], max(PIVOTS[0], stats[2] // CELL_ROWS)))
+    queries = scratch.table(asked_once(rows.filter(is_query)), "asked")
 
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("vecs", pa.binary()), ("radii", pa.binary()), ("least", pa.float64()), ("most", pa.float64())])
 
@@ -136,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
 
     kind = "cell int, n long, ids binary, vecs binary, radii binary, least double, most double"
     blocks = scratch.table(rows.mapInArrow(keyed(False), kind), "blocks")
-    asked = scratch.table(rows.filter(is_query).mapInArrow(keyed(True), kind), "queries")
+    asked = scratch.table(queries.mapInArrow(keyed(True), kind), "queries")
     # One row for a pivot.
     spans = {r["cell"]: (r["least"], r["most"]) for r in blocks.groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect()}
 
@@ -168,7 +172,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     # A query's radius: from its k-th best so far.
     worst = ranked(near, k).groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("have"))
     worst = scratch.table(worst.filter(F.col("have") == k).select(F.col("query_id").alias("id"), "worst"), "worst")
-    limited = rows.filter(is_query).dropDuplicates(["id", "vec"]).join(worst, "id", "left")
+    limited = queries.join(worst, "id", "left")
 
     def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

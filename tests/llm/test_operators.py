@@ -285,6 +285,39 @@ def test_ann(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def repeated_vectors(spark):
+    """Repeated rows, an id with two vectors, vectors of unlike widths."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4 + i % 3).round(2).tolist()) for i in range(120)]
+    rows += [rows[20]] * 2 + [rows[37]] * 50 + [(40, [5.0, 0.0, 0.0, 0.0])]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def brute_repeated(rows, made):
+    """vec_id and score of each query's 20 best; an id counts once, by its best vector, and asks with its smallest."""
+    padded = {}
+    for i, vec in rows:
+        padded.setdefault(i, set()).add(tuple(vec))
+    full = {i: [made(np.array(v + (0.0,) * (6 - len(v)))) for v in sorted(own)] for i, own in padded.items()}
+    return {q: sorted((-max(float(full[q][0] @ v) for v in own), i) for i, own in full.items() if i != q)[:20] for q in full if q % 20 == 0}
+
+
+def test_top_k_repeated(spark):
+    rows, df = repeated_vectors(spark)
+    got = {}
+    for r in topk.top_k(df, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == brute_repeated(rows, lambda v: np.floor(64 * v))
+
+
+def test_ann_repeated(spark):
+    rows, df = repeated_vectors(spark)
+    got = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, 20, recall=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((round(-r["score"], 9), r["vec_id"]))
+    assert got == {q: [(round(s, 9), i) for s, i in own] for q, own in brute_repeated(rows, lambda v: v).items()}
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
