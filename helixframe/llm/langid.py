@@ -22,11 +22,11 @@ from .arrowtext import layout, steps
 #: Bytes of a window, filter widths, filters of each width.
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled texts of each language that training takes, and windows of each text.
-TEXTS, WINDOWS = 400, 2
-EPOCHS, BATCH, RATE = 14, 64, 0.02
+TEXTS, WINDOWS = 400, 3
+EPOCHS, BATCH, RATE = 10, 64, 0.02
 UNKNOWN = "und"
-#: Labelled texts that set the least score of a kept text, and the share of the rightly told ones that may fall below it.
-CALIBRATION, BELOW = 20_000, 0.001
+#: Labelled texts that set the least score of a kept text, the share of the rightly told ones whose score it is taken from, and what part of that score.
+CALIBRATION, BELOW, MARGIN = 4_000, 0.001, 0.8
 
 #: Letters lower-cased; digits, marks and controls are one blank.
 FOLD = np.full(256, 32, np.uint8)
@@ -152,13 +152,12 @@ def known(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Network | None:
     """Train on texts and non-null langs of rows that aren't held out; None if there are none."""
-    labelled = known(docs)
+    size = F.length("text")
+    cut = F.array(*(F.substr("text", 1 + F.floor(F.greatest(size - LENGTH, F.lit(0)) * F.lit(i / (WINDOWS - 1))).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS)))
+    labelled = known(docs).select("doc_id", "lang", cut.alias("cuts"))
     # The rows with the smallest hashes of each language; Spark limits each group before the shuffle.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= TEXTS).select("doc_id", "lang")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    cut = F.array(*(F.substring("text", 1 + i * LENGTH * 3, LENGTH) for i in range(WINDOWS)))
-    rows = texts.select("doc_id", "lang", cut.alias("cuts")).collect()  # TEXTS windows a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "cuts"))
+    rows = labelled.withColumn("place", place).filter(F.col("place") <= TEXTS).select("doc_id", "lang", "cuts").collect()  # WINDOWS windows of each
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["cuts"]))
     samples, labels = [], []
     languages = sorted({r["lang"] for r in rows})
@@ -166,7 +165,7 @@ def fit(docs: DataFrame) -> Network | None:
         return None
     rng = np.random.default_rng(11)
     for row in rows:
-        for text in row["cuts"]:
+        for text in dict.fromkeys(row["cuts"]):
             if not has_letter(text):
                 continue
             data = np.frombuffer(text.encode(), np.uint8)[:LENGTH]
@@ -214,11 +213,11 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def least_score(docs: DataFrame, network: Network | None) -> float:
-    """The score that all but BELOW of the labelled texts reach whose label the network finds; 0 if there are none."""
+    """MARGIN of the score that all but BELOW of the labelled texts reach whose label the network finds; 0 if there are none."""
     labelled = known(docs)
     every = max(1, labelled.count() // CALIBRATION)
     told = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).select("lang", identify(network).alias("told"))
-    return told.filter("told.lang_pred = lang").agg(F.percentile_approx("told.score", BELOW, 100_000)).first()[0] or 0.0
+    return MARGIN * (told.filter("told.lang_pred = lang").agg(F.percentile_approx("told.score", BELOW, 100_000)).first()[0] or 0.0)
 
 
 def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
