@@ -89,8 +89,8 @@ class Logistic:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Logistic | None:
     """Fit on SAMPLE labelled documents at most, those with the smallest hashes; None without both classes."""
-    known = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     @F.arrow_udf("array<double>")
     def described(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Logistic | None:
             made = [row for at, to in steps(ends) for row in features(raw, ends[at : to + 1]).tolist()]
             yield pa.array(made, pa.list_(pa.float64()))
 
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", described(F.col("text")).alias("x")).collect()
+    once = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # a repeated doc_id counts once
+    found = once.select("doc_id", "quality", described(F.col("text")).alias("x")).collect()
     found.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     y = np.array([r["quality"] > 0 for r in found], float)
     if not len(y) or y.min() == y.max():
@@ -158,20 +159,23 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Da
 
     ``host`` and ``path`` are expressions over ``docs``; null is a site of its
     own.  Repeated rows count each time.  Null and empty texts score 0.
-    Without usable labels every text has the evidence 0.5.
+    Without usable labels every text has the evidence 0.5.  Columns of ``docs``
+    with the added names are replaced.  A doc_id with several labels has the
+    highest, with several texts it is learned from the smallest.
     """
+    added = ["p_document", "host_posterior", "path_posterior", "quality_score"]
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs.select("doc_id", "text"), labels)
     told = docs.select(host.alias("host"), path.alias("path"), evidence(model).alias("p"))
     sites, mean, weight = site_posteriors(told, scratch)
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("n").alias("_n"), F.col("s").alias("_s"), "host_posterior")
-    own = docs.withColumns({"p_document": evidence(model), "_h": host, "_p": path})
-    joined = own.join(sites, F.col("_h").eqNullSafe(F.col("_host")) & F.col("_p").eqNullSafe(F.col("_path")))
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in added]).alias("row"), host.alias("host"), path.alias("path"), evidence(model).alias("p"))
+    x, y = own.alias("x"), sites.alias("y")
+    joined = x.join(y, F.col("x.host").eqNullSafe(F.col("y.host")) & F.col("x.path").eqNullSafe(F.col("y.path")))
     # The path's posterior without the document itself, which has its say already.
-    left_out = (F.lit(weight) * F.col("host_posterior") + F.col("_s") - F.col("p_document")) / (F.lit(weight) + F.col("_n") - 1)
-    odds = logit(F.col("p_document")) + logit(left_out) - logit(F.lit(mean))
-    score = F.when(F.col("p_document") > 0, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
-    return joined.withColumns({"path_posterior": left_out, "quality_score": score}).drop("_h", "_p", "_host", "_path", "_n", "_s")
+    left_out = (F.lit(weight) * F.col("y.host_posterior") + F.col("y.s") - F.col("x.p")) / (F.lit(weight) + F.col("y.n") - 1)
+    odds = logit(F.col("x.p")) + logit(left_out) - logit(F.lit(mean))
+    score = F.when(F.col("x.p") > 0, 1 / (1 + F.exp(-odds))).otherwise(F.lit(0.0))
+    return joined.select("x.row.*", *(c.alias(name) for c, name in zip((F.col("x.p"), F.col("y.host_posterior"), left_out, score), added, strict=True)))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
