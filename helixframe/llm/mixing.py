@@ -72,21 +72,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies.
 
     ``copies`` is how often the mix takes the row.  Null sources are a source
-    of their own, null and empty texts have size 0 and rate 0, rows with equal
-    doc_id share their draw.  Columns of ``docs`` with the added names are
-    replaced.
+    of their own, null and empty texts have size 0.  A row's draw hangs on its
+    doc_id and, where that is null, on its text; rows equal in these share it.
+    Columns of ``docs`` with the added names are replaced.
     """
     added = ["size", "source_size", "target", "copies"]
     kept = docs.select(*[c for c in docs.columns if c not in added])
     scratch = Scratch(docs.sparkSession, "mixing")
     targets = scratch.table(source_targets(kept.select("source", words(F.col("text")).alias("size")), weights, share, limit, scratch), "targets")
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + (draw(F.col("doc_id"), seed) < rate - whole).cast("long")
-    sized = kept.withColumn("size", words(F.col("text")))
+    key = F.coalesce(F.col("x.row.doc_id").cast("string"), F.col("x.row.text"))
+    copies = whole + (draw(key, seed) < rate - whole).cast("long")
+    sized = kept.select(F.struct(*kept.columns).alias("row"), words(F.col("text")).alias("size"))
     # Few sources: the size of the written table lets Spark broadcast it; else the skewed side is split.
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies).drop("_source")
+    joined = sized.alias("x").join(targets.alias("y"), F.col("x.row.source").eqNullSafe(F.col("y.source")))
+    return joined.select("x.row.*", "x.size", "y.source_size", "y.target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
@@ -104,7 +105,7 @@ def report(docs: DataFrame) -> DataFrame:
 #: The same in DuckDB SQL; water filling by sums over the sources in order of the level at which they fill.
 REPORT_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, text, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -123,10 +124,10 @@ WITH sized AS (
     CASE WHEN numerator IS NULL OR 2 * source_size * denominator <= weight * numerator THEN CAST(2 * source_size AS DOUBLE) ELSE weight * numerator / denominator END AS target
   FROM weighed LEFT JOIN level ON true
 ), rated AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+  SELECT doc_id, text, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST((floor(rate) + CASE WHEN CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+  CAST((floor(rate) + CASE WHEN CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '') || ':17'), 1, 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM rated
 """
