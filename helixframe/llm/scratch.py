@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where it is unset."""
+    """The session's checkpoint folder; where it is unset, one of our own on a single machine and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
