@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .scratch import shuffle_width
 from .vectors import BLOCK, asked_once, best, matrix, ranked, usable
+from .worker import released
 
 #: Vectors the tree is fitted on at most, branches of a node, and the fewest vectors of the sample that are split.
 SAMPLE, BRANCHES, LEAST = 65_536, 8, 64
@@ -158,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 leaf = tree.assign(matrix(part.column("vec"), width))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), part.column("id"), part.column("vec")], ["leaf", "id", "vec"])
 
-    index = scratch.table(rows.mapInArrow(indexed, "leaf int, id long, vec array<double>"), "index")
+    index = scratch.table(rows.mapInArrow(released(released(indexed)), "leaf int, id long, vec array<double>"), "index")
     # One row for a leaf.
     salts = {r["leaf"]: -(-r["n"] // SALT_ROWS) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     queries = scratch.table(asked_once(rows.filter(is_query)), "queries")
@@ -201,7 +202,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         yield from kept.sent()
 
     # k rows for each of the sample.
-    truth = ranked(index.select("id", "vec").mapInArrow(brute, found), k).join(index.select(F.col("id").alias("vec_id"), "leaf"), "vec_id")
+    truth = ranked(index.select("id", "vec").mapInArrow(released(released(brute)), found), k).join(index.select(F.col("id").alias("vec_id"), "leaf"), "vec_id")
     leaves_of: dict[int, list[int]] = {}
     for row in truth.groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).collect():
         leaves_of.setdefault(row["query_id"], []).append(row["leaf"])
@@ -256,9 +257,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     given = index.select("leaf", F.pmod(F.xxhash64("id", F.lit(3)), several).cast("int").alias("salt"), F.lit(True).alias("candidate"), "id", "vec")
 
     def visited(queries: DataFrame, count: int) -> DataFrame:
-        asked = queries.mapInArrow(visiting(count), "leaf int, salt int, id long, vec array<double>").withColumn("candidate", F.lit(False))
+        asked = queries.mapInArrow(released(visiting(count)), "leaf int, salt int, id long, vec array<double>").withColumn("candidate", F.lit(False))
         both = given.unionByName(asked).repartition(shuffle_width(spark), "leaf", "salt").sortWithinPartitions("leaf", "salt", "candidate")
-        return ranked(both.mapInArrow(meet, found), k)
+        return ranked(both.mapInArrow(released(released(meet)), found), k)
 
     first = scratch.table(visited(queries, visits), "first")
     if visits >= tree.leaves:

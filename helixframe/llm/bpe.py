@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import layout, steps
 from .pieces import PieceTable
+from .worker import bound_batches, released
 
 #: Texts are encoded together up to so many bytes.
 STEP_BYTES = 1 << 20
@@ -248,7 +249,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             made = pa.array([ids for own in _encoded(bpe, batch.column(text)) for ids in own], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), made], [*kept, ids])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    bound_batches(docs.sparkSession)
+    return docs.select(*kept).mapInArrow(released(released(run)), schema)
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -262,7 +264,8 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
             made = pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), made], [*kept, text])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    bound_batches(docs.sparkSession)
+    return docs.select(*kept).mapInArrow(released(released(run)), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -287,4 +290,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    bound_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(released(released(run)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

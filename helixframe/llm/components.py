@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .worker import released
 
 
 #: Links that one task takes, of 16 bytes each.
@@ -45,7 +46,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     """
     links = links.select("a", "b")
     if links.count() <= TASK_LINKS:
-        return links.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
+        return links.coalesce(1).mapInArrow(released(released(_in_one_task)), "node long, component long")
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     edges = scratch.table(links.filter("a <> b").select(least, most).distinct(), f"{name}-0")
     before, step = None, 0

@@ -38,6 +38,7 @@ from .arrowtext import layout, steps
 from .components import components
 from .scratch import Scratch, shuffle_width
 from .shingles import U, digests, mixed, shingle_sets
+from .worker import released
 
 #: Cells of the sketch of fingerprint counts, as a power of two, and cells in a row of it.
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
@@ -308,8 +309,8 @@ def candidate_pairs(docs: DataFrame, percent: int, k: int, sketch: np.ndarray) -
                 held.append((keys, np.frombuffer(row["flags"], np.uint8), ids[np.frombuffer(row["place"], narrow)]))
         yield from flush()
 
-    dealt = docs.mapInArrow(index, "part int, keys binary, flags binary, place binary, ids binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, "a long, b long, kind int, n long")
+    dealt = docs.mapInArrow(released(released(index)), "part int, keys binary, flags binary, place binary, ids binary")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(released(released(match)), "a long, b long, kind int, n long")
 
 
 def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -351,7 +352,7 @@ def likely(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
 
     first = outlines.select(F.col("id").alias("a"), "n", F.col("counts").alias("x"))
     second = outlines.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("counts").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select(*kept, "n", "m", "x", "y").mapInArrow(run, schema)
+    return pairs.join(first, "a").join(second, "b").select(*kept, "n", "m", "x", "y").mapInArrow(released(released(run)), schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -370,7 +371,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     own = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(released(released(run)), "a long, b long, linked boolean")
 
 
 def _with_sets(k: int, outline: bool):
@@ -411,7 +412,7 @@ def _distinct_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame
             blobs = [cells.reshape(-1, SKETCH_ROW)[b].tobytes() for b in blocks]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(blocks), pa.int64()) for _ in range(4)), pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    first = scratch.table(docs.mapInArrow(sized, "doc_id long, n_shingles long, d1 long, d2 long, block int, counts binary"), "sized")
+    first = scratch.table(docs.mapInArrow(released(released(sized)), "doc_id long, n_shingles long, d1 long, d2 long, block int, counts binary"), "sized")
 
     def summed(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_ROW, np.int64)
@@ -472,10 +473,10 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     plain = _apart(pairs.filter(F.col("kind") == CANDIDATE), clusters.select(F.col("id").alias("node"), F.col("cluster").alias("component")))
     asked = scratch.table(plain.unionByName(leads).distinct(), "asked")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    outlines = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-1")).mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
+    outlines = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-1")).mapInArrow(released(_with_sets(k, True)), "id long, n long, counts binary"), "outlines")
     may = scratch.table(once(likely(asked, once(outlines), percent).filter("may").select("a", "b")), "likely")
     nodes = may.select(F.explode(F.array("a", "b")).alias("id")).unionByName(clusters.select("id")).distinct()
-    sets = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-2")).mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
+    sets = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-2")).mapInArrow(released(_with_sets(k, False)), "id long, set binary"), "sets")
     sets = once(sets)
     links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b"), "links-1")
     if not clusters.isEmpty():
@@ -604,7 +605,7 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
 
     kind = pa.schema([("cluster", pa.int64()), ("outlier", pa.bool_()), ("least", pa.int64()), ("most", pa.int64()), ("no", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "sets", "parts"))])
     dealt = rows.repartition(shuffle_width(spark), *by).sortWithinPartitions(*by, "id").select(*by, "n", "id", "part", "set")
-    blocks = scratch.table(dealt.mapInArrow(packed, "cluster long, outlier boolean, least long, most long, no long, ids binary, sizes binary, sets binary, parts binary"), "blocks")
+    blocks = scratch.table(dealt.mapInArrow(released(released(packed)), "cluster long, outlier boolean, least long, most long, no long, ids binary, sizes binary, sets binary, parts binary"), "blocks")
     scratch.drop("members", "told", "some", "shares")
     spans = blocks.select("cluster", "outlier", "least", "most", "no")
     x, y = spans.filter("outlier").alias("x"), spans.alias("y")
@@ -622,7 +623,7 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
                 found = forest(one, other, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(compared, "a long, b long")
+    return met.mapInArrow(released(released(compared)), "a long, b long")
 
 
 def _entries(texts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> DataFrame:
@@ -640,7 +641,7 @@ def _entries(texts: DataFrame, percent: int, k: int, sketch: np.ndarray) -> Data
                     cut = slice(start, start + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(keys[cut].view(np.int64)), pa.array(flags[cut].astype(np.int32))], ["id", "key", "flag"])
 
-    return texts.mapInArrow(keyed, "id long, key long, flag int")
+    return texts.mapInArrow(released(released(keyed)), "id long, key long, flag int")
 
 
 def join_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -658,9 +659,9 @@ def join_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     x, y = entries.alias("x"), entries.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & F.expr(USABLE))
     pairs = scratch.table(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
-    outlines = scratch.table(texts.mapInArrow(_with_sets(k, True), "id long, n long, counts binary"), "outlines")
+    outlines = scratch.table(texts.mapInArrow(released(_with_sets(k, True)), "id long, n long, counts binary"), "outlines")
     may = scratch.table(likely(pairs, outlines, percent), "likely").filter("may").select("a", "b").distinct()
-    sets = scratch.table(texts.mapInArrow(_with_sets(k, False), "id long, set binary"), "sets")
+    sets = scratch.table(texts.mapInArrow(released(_with_sets(k, False)), "id long, set binary"), "sets")
     links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b").distinct(), "links")
     scratch.drop("sized", "reps", "entries", "pairs", "outlines", "likely", "sets")
     return links

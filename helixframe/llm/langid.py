@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import layout, steps
+from .worker import bound_batches, released
 
 #: Bytes of a window, filter widths, filters of each width.
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -152,6 +153,7 @@ def known(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Network | None:
     """Train on texts and non-null langs of rows that aren't held out; None if there are none."""
+    bound_batches(docs.sparkSession)
     size = F.length("text")
     cut = F.array(*(F.substr("text", 1 + F.floor(F.greatest(size - LENGTH, F.lit(0)) * F.lit(i / (WINDOWS - 1))).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS)))
     labelled = known(docs).select("doc_id", "lang", cut.alias("cuts"))
@@ -182,6 +184,7 @@ def identify(network: Network | None, text: str = "text") -> Column:
     """struct(lang_pred, score) of a text column; null and texts without letters are ``und`` with score 0."""
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @released
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             raw, ends = layout(column)

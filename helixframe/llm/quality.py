@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .arrowtext import layout, steps
 from .scratch import Scratch
 from .shingles import word_hashes
+from .worker import released
 
 #: Labelled documents that the regression is fitted on, at most.
 SAMPLE = 12_000
@@ -93,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Logistic | None:
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     @F.arrow_udf("array<double>")
+    @released
     def described(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             raw, ends = layout(column)
@@ -112,6 +114,7 @@ def evidence(model: Logistic | None, text: str = "text") -> Column:
     """Probability of good quality from a text alone; 0.5 without a model, 0 for null and empty texts."""
 
     @F.arrow_udf("double")
+    @released
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             raw, ends = layout(column)

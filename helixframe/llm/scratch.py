@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .worker import bound_batches
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; where it is unset, one of our own on a single machine and an error on a cluster."""
@@ -30,6 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
 
     def at(self, name: str) -> str:

@@ -37,6 +37,7 @@ from .arrowtext import layout, steps
 from .pieces import PieceTable
 from .scratch import Scratch, shuffle_width
 from .shingles import LOWER, SEPARATOR
+from .worker import released
 
 #: A shard is closed when it holds so many ids (or one document, if longer).
 SHARD_IDS = 1 << 18
@@ -133,7 +134,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[int]) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(parts[at:to]), batch.column("key").slice(at, to - at), batch.column("no_id").slice(at, to - at), pa.array(blobs, pa.binary())], ["part", "key", "no_id", "ids"])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
-    return keyed.mapInArrow(run, "part int, key long, no_id boolean, ids binary")
+    return keyed.mapInArrow(released(released(run)), "part int, key long, no_id boolean, ids binary")
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -309,7 +310,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, p
         if held:
             yield closed()
 
-    dealt.mapInArrow(run, "part int, seq int, first_doc long, docs long, ids long, shard binary").write.mode("overwrite").parquet(path)
+    dealt.mapInArrow(released(released(run)), "part int, seq int, first_doc long, docs long, ids long, shard binary").write.mode("overwrite").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -341,7 +342,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return read_token_files(spark, path).select("shard", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path).select("shard", "base").mapInArrow(released(released(run)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

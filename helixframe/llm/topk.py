@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .vectors import BLOCK, asked_once, best, blob, each_row, gathered, matrix, ranked, sent, usable
+from .worker import released
 
 #: Pivots, at least and at most, and rows for one of them in between.
 PIVOTS, CELL_ROWS = (32, 1024), 32_768
@@ -139,8 +140,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         return run
 
     kind = "cell int, n long, ids binary, vecs binary, radii binary, least double, most double"
-    blocks = scratch.table(rows.mapInArrow(keyed(False), kind), "blocks")
-    asked = scratch.table(queries.mapInArrow(keyed(True), kind), "queries")
+    blocks = scratch.table(rows.mapInArrow(released(keyed(False)), kind), "blocks")
+    asked = scratch.table(queries.mapInArrow(released(keyed(True)), kind), "queries")
     # One row for a pivot.
     spans = {r["cell"]: (r["least"], r["most"]) for r in blocks.groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most")).collect()}
 
@@ -160,7 +161,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     found = "query_id long, vec_id long, score long"
 
     def visit(questions: DataFrame) -> DataFrame:
-        return blocks.select("cell", "ids", "vecs", "radii").join(questions, "cell").mapInArrow(search, found)
+        return blocks.select("cell", "ids", "vecs", "radii").join(questions, "cell").mapInArrow(released(released(search)), found)
 
     def everything(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
             yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("ids"), batch.column("vecs"), batch.column("radii"), pa.array(limit, pa.binary())], ["cell", "q_ids", "q_vecs", "q_far", "q_limit"])
 
     question = "cell int, q_ids binary, q_vecs binary, q_far binary, q_limit binary"
-    near = scratch.table(visit(asked.mapInArrow(everything, question)), "near")
+    near = scratch.table(visit(asked.mapInArrow(released(released(everything)), question)), "near")
     # A query's radius: from its k-th best so far.
     worst = ranked(near, k).groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("have"))
     worst = scratch.table(worst.filter(F.col("have") == k).select(F.col("query_id").alias("id"), "worst"), "worst")
@@ -192,7 +193,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
                             [pa.array([c], pa.int32()), *(pa.array([blob(x[rows])], pa.binary()) for x in (ids, own, far, limit))], ["cell", "q_ids", "q_vecs", "q_far", "q_limit"]
                         )
 
-    rest = visit(scratch.table(limited.mapInArrow(others, question), "others"))
+    rest = visit(scratch.table(limited.mapInArrow(released(released(others)), question), "others"))
     return ranked(near.unionByName(rest), k)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .worker import released
 
 #: Smaller payloads are never revisits.
 LEAST_BYTES = 1000
@@ -151,7 +152,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string()), ("header", pa.string()), ("payload", pa.binary())])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, record_type string, digest string, refers_to long, bytes long, sha1 string, header string, payload binary")
+    return files.mapInArrow(released(released(run)), "page_id long, record_type string, digest string, refers_to long, bytes long, sha1 string, header string, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
