@@ -30,20 +30,33 @@ class PieceTable:
     def forget(self) -> None:
         self.key = np.zeros(1 << TABLE_BITS, U)
         self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
-        self.first, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.pieces = self.ids = 0
+        self.first, self.sizes, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def room(self, name: str, need: int) -> None:
+        """Arrays double as they fill up."""
+        had = getattr(self, name)
+        if len(had) < need:
+            grown = np.zeros(max(need, 2 * len(had)), had.dtype)
+            grown[: len(had)] = had
+            setattr(self, name, grown)
 
     def add(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers under which the ids of new pieces can be found."""
         made, sizes = self.make(pieces)
-        fresh = np.arange(len(sizes)) + len(self.first)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, made])
+        pieces, ids = self.pieces + len(sizes), self.ids + len(made)
+        for name, need in (("first", pieces), ("sizes", pieces), ("flat", ids)):
+            self.room(name, need)
+        self.first[self.pieces : pieces] = self.ids + np.cumsum(sizes) - sizes
+        self.sizes[self.pieces : pieces] = sizes
+        self.flat[self.ids : ids] = made
+        fresh = np.arange(self.pieces, pieces)
+        self.pieces, self.ids = pieces, ids
         return fresh
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids) of the pieces of ``buf`` between ``starts`` and ``stops``."""
-        if len(self.first) > PIECES or len(self.flat) > IDS:
+        if self.pieces > PIECES or self.ids > IDS:
             self.forget()
         size = stops - starts
         hashes = spans_hashed(buf, starts, stops)

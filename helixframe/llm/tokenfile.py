@@ -21,6 +21,7 @@ order of their ids.  A null text is an empty document: the end id alone.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -62,9 +63,11 @@ class WordTokenizer:
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
     LETTER[97:123] = True
+    JOINED = 64
     MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as text:
@@ -73,13 +76,35 @@ class WordTokenizer:
         shape = json.loads(made)
         cut = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = shape["normalizer"] == self.NORMALIZER and cut.get("pattern") == {"Regex": self.SPLIT} and cut.get("invert") is True
+        ending = shape["model"].get("end_of_word_suffix")
+        #: Whether a word ends with an id, where the model marks that.
+        self.suffix = np.zeros(max(self.model.get_vocab().values()) + 1, bool) if self.by_word and ending else None
+        if self.suffix is not None:
+            self.suffix[[i for token, i in self.model.get_vocab().items() if token.endswith(ending)]] = True
         self.odd = re.compile(b"|".join([re.escape(t.content.encode()) for t in self.model.get_added_tokens_decoder().values()] + ["Σ".encode()]), re.IGNORECASE)
         self.table = PieceTable(self.learn)
 
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        made = [x.ids for x in self.model.encode_batch_fast([word.decode() for word in words], add_special_tokens=False)]
+    def plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of them) of each text, by the library alone."""
+        made = [x.ids for x in self.model.encode_batch_fast([text.decode() for text in texts], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
 
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``plain``; words of letters alone go JOINED at a time, and the ids that end a word part them again."""
+        if self.suffix is None:
+            return self.plain(words)
+        letters = np.fromiter(map(bytes.isalpha, words), bool, len(words))
+        easy, hard = np.flatnonzero(letters), np.flatnonzero(~letters)
+        runs = [b" ".join([words[i] for i in easy[at : at + self.JOINED]]) for at in range(0, len(easy), self.JOINED)]
+        (ids, _), (more, counts) = self.plain(runs), self.plain([words[i] for i in hard])
+        stops = np.flatnonzero(self.suffix[ids]) + 1
+        sizes, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[easy], first[easy] = np.diff(stops, prepend=0), np.concatenate(([0], stops))[: len(easy)]
+        sizes[hard], first[hard] = counts, len(ids) + np.cumsum(counts) - counts
+        total = np.cumsum(sizes)
+        index = np.repeat(first - (total - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.concatenate([ids, more])[index], sizes
+
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; texts lie end to end at ``ends`` in ``raw``."""
         edges, own = ends - ends[0], raw[ends[0] : ends[-1]]
@@ -102,7 +127,7 @@ class WordTokenizer:
             kept = ~whole[np.searchsorted(edges, starts, side="right") - 1]
             starts, stops = starts[kept], stops[kept]
             places = np.flatnonzero(whole & (np.diff(edges) > 0))
-            ids, counts = self.learn([data[edges[i] : edges[i + 1]] for i in places])
+            ids, counts = self.plain([data[edges[i] : edges[i + 1]] for i in places])
             for i, made in zip(places.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 out[i] = made
         ids, counts = self.table.encode(buf, starts, stops)
@@ -163,7 +188,10 @@ def repair(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while len(sequence) > 1:  # every round replaces a pair at least
         pairs = sequence[:-1] << np.uint64(32) | sequence[1:]
         inside = ~last[:-1]
-        ordered = np.sort(pairs[inside])
+        # Most pairs are too rare: counts of their hashes, never below their own, spare the sort of those.
+        mixed = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        load = np.bincount(mixed[inside], minlength=1 << 18)
+        ordered = np.sort(pairs[inside & (load[mixed] >= LEAST_COUNT)])
         if not ordered.size:
             break
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -175,10 +203,9 @@ def repair(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
             often = often[np.argpartition(-counts[often], RULES_A_ROUND)[:RULES_A_ROUND]]
         chosen = np.sort(ordered[starts[often]])
         # A pair is first looked up in a table of its low hash bits, then exactly.
-        mixed = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-        table = np.zeros(1 << 16, bool)
-        table[((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)] = True
-        maybe = np.flatnonzero(table[mixed.astype(np.int64)] & inside)
+        table = np.zeros(1 << 18, bool)
+        table[((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)] = True
+        maybe = np.flatnonzero(table[mixed] & inside)
         place = np.searchsorted(chosen, pairs[maybe])
         place[place == len(chosen)] = 0
         hit = chosen[place] == pairs[maybe]
