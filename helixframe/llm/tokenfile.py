@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -81,7 +80,7 @@ class WordTokenizer:
         self.suffix = np.zeros(max(self.model.get_vocab().values()) + 1, bool) if self.by_word and ending else None
         if self.suffix is not None:
             self.suffix[[i for token, i in self.model.get_vocab().items() if token.endswith(ending)]] = True
-        self.odd = re.compile(b"|".join([re.escape(t.content.encode()) for t in self.model.get_added_tokens_decoder().values()] + ["Σ".encode()]), re.IGNORECASE)
+        self.odd = [t.content.encode().lower() for t in self.model.get_added_tokens_decoder().values()] + ["Σ".encode()]
         self.table = PieceTable(self.learn)
 
     def plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +110,13 @@ class WordTokenizer:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(edges) - 1)
         if not len(own):
             return out
-        data = own.tobytes()
-        whole = np.full(len(out), not self.by_word)
-        whole[[int(np.searchsorted(edges, m.start(), side="right")) - 1 for m in self.odd.finditer(data)]] = True
-        buf = LOWER[own]
+        data, buf = own.tobytes(), LOWER[own]
+        whole, lower = np.full(len(out), not self.by_word), buf.tobytes()
+        for odd in self.odd:
+            at = lower.find(odd)
+            while at >= 0:
+                whole[int(np.searchsorted(edges, at, side="right")) - 1] = True
+                at = lower.find(odd, at + 1)
         inside = ~SEPARATOR[buf]
         edge = np.zeros(len(buf) + 1, bool)
         edge[edges] = True
@@ -155,15 +157,19 @@ def encoded(docs: DataFrame, path: str, end_id: int, cuts: list[int]) -> DataFra
             keys = batch.column("key").to_numpy()
             parts = np.searchsorted(np.array(cuts, np.int64), keys, side="left").astype(np.int32)
             for at, to in steps(ends):
-                blobs = [pack_ids(np.append(ids, np.uint32(end_id))) for ids in own.encode(raw, ends[at : to + 1])]
+                blobs = [pack_ids(ids, end_id) for ids in own.encode(raw, ends[at : to + 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(parts[at:to]), batch.column("key").slice(at, to - at), batch.column("no_id").slice(at, to - at), pa.array(blobs, pa.binary())], ["part", "key", "no_id", "ids"])
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.col("doc_id").isNull().alias("no_id"), "text")
     return keyed.mapInArrow(released(released(run)), "part int, key long, no_id boolean, ids binary")
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    return b"\2" + ids.astype("<u2").tobytes() if ids.size == 0 or ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
+def pack_ids(ids: np.ndarray, end_id: int) -> bytes:
+    """The ids with the end id after them."""
+    last = np.uint32(end_id)
+    if max(end_id, int(ids.max()) if ids.size else 0) < 1 << 16:
+        return b"".join((b"\2", ids.astype("<u2").tobytes(), last.astype("<u2").tobytes()))
+    return b"".join((b"\4", ids.astype("<u4").tobytes(), last.astype("<u4").tobytes()))
 
 
 def unpack_ids(blob: bytes) -> np.ndarray:
