@@ -23,13 +23,14 @@ class PieceTable:
     ``make`` gives the ids of pieces end to end, and how many each has.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], doublings: int = 0):
         self.make = make
+        self.bits, self.most_pieces, self.most_ids = TABLE_BITS + doublings, PIECES << doublings, IDS << doublings
         self.forget()
 
     def forget(self) -> None:
-        self.key = np.zeros(1 << TABLE_BITS, U)
-        self.slot = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.key = np.zeros(1 << self.bits, U)
+        self.slot = np.full(1 << self.bits, -1, np.int32)
         self.pieces = self.ids = 0
         self.first, self.sizes, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
 
@@ -56,11 +57,11 @@ class PieceTable:
 
     def encode(self, buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids) of the pieces of ``buf`` between ``starts`` and ``stops``."""
-        if self.pieces > PIECES or self.ids > IDS:
+        if self.pieces > self.most_pieces or self.ids > self.most_ids:
             self.forget()
         size = stops - starts
         hashes = spans_hashed(buf, starts, stops)
-        at = (hashes >> U(64 - TABLE_BITS)).astype(np.int64)
+        at = (hashes >> U(64 - self.bits)).astype(np.int64)
         found = self.slot[at].astype(np.int64)
         short = size <= LONGEST
         found[(self.key[at] != hashes) | ~short] = -1
@@ -69,7 +70,7 @@ class PieceTable:
             own, first, place = np.unique(hashes[lost], return_index=True, return_inverse=True)
             fresh = self.add([buf[a:b].tobytes() for a, b in zip(starts[lost[first]].tolist(), stops[lost[first]].tolist(), strict=True)])
             found[lost] = fresh[place]
-            spot = (own >> U(64 - TABLE_BITS)).astype(np.int64)
+            spot = (own >> U(64 - self.bits)).astype(np.int64)
             self.key[spot], self.slot[spot] = own, fresh
         rare = np.flatnonzero(~short)
         if len(rare):

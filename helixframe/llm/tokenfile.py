@@ -81,7 +81,7 @@ class WordTokenizer:
         if self.suffix is not None:
             self.suffix[[i for token, i in self.model.get_vocab().items() if token.endswith(ending)]] = True
         self.odd = [t.content.encode().lower() for t in self.model.get_added_tokens_decoder().values()] + ["Σ".encode()]
-        self.table = PieceTable(self.learn)
+        self.table = PieceTable(self.learn, doublings=1)
 
     def plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of them) of each text, by the library alone."""
