@@ -23,6 +23,29 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 POSIX = {"[:alpha:]": r"\p{Alpha}", "[:digit:]": r"\d", "[:alnum:]": r"\p{Alnum}", "[:space:]": r"\s", "[:upper:]": r"\p{Upper}", "[:lower:]": r"\p{Lower}", "[:punct:]": r"\p{Punct}"}
 
 
+def java_pattern(pattern: str) -> str:
+    """An extended regular expression for Java: classes, and marks that are plain there, within brackets."""
+    out, at = [], 0
+    while at < len(pattern):
+        if pattern[at] == "\\":
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        if pattern[at] != "[":
+            out.append(pattern[at])
+            at += 1
+            continue
+        own = re.match(r"\[\^?\]?(?:\[:\w+:\]|[^\]])*\]", pattern[at:])
+        if not own:
+            raise FilterError("bracket without an end")
+        inside = own[0][1:-1]
+        negated, inside = inside.startswith("^"), inside.removeprefix("^")
+        made = re.sub(r"\[:\w+:\]|[\[\]\\&]", lambda m: POSIX.get(m[0], "\\" + m[0]), inside)
+        out.append("[" + "^" * negated + made + "]")
+        at += len(own[0])
+    return "".join(out)
+
+
 class FilterError(ValueError):
     """The text isn't a filter, or gives an operator a kind of value that it doesn't take."""
 
@@ -124,9 +147,7 @@ class Compiler:
                 raise FilterError(f"{op} needs strings")
             pattern = right.literal
             if pattern is not None:
-                for name, java in POSIX.items():
-                    pattern = pattern.replace(name, java)
-                found = left.text.rlike(pattern)
+                found = left.text.rlike(java_pattern(pattern))
             else:
                 found = F.regexp_like(left.text, right.text)
             return _bool(found if op == "=~" else ~found)

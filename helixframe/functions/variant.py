@@ -16,21 +16,53 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0)).when(F.size(differs) > 0, F.element_at(differs, 1) - 1).otherwise(n)
 
 
-def variant_type(ref: Column, alt: Column) -> Column:
-    """Type code of one alternative allele against the reference, in any case of letters."""
+def _rests(ref: Column, alt: Column) -> tuple[Column, Column, Column, Column]:
+    """(prefix, places of the last letter of what differs in both, whether those letters are equal).
+
+    Common letters go from the left, then from the right as long as both keep one.
+    """
     r, a = F.upper(ref), F.upper(alt)
     prefix = common_prefix(r, a)
-    r1, a1 = F.substring(r, prefix + 1, F.length(r)), F.substring(a, prefix + 1, F.length(a))
-    suffix = common_prefix(F.reverse(r1), F.reverse(a1))
-    rest_r, rest_a = F.length(r1) - suffix, F.length(a1) - suffix
+    left = F.least(F.length(r), F.length(a)) - prefix - 1
+    suffix = F.least(common_prefix(F.reverse(r), F.reverse(a)), F.greatest(left, F.lit(0)))
+    re, ae = F.length(r) - prefix - 1 - suffix, F.length(a) - prefix - 1 - suffix
+    return prefix, re, ae, F.substring(r, prefix + re + 1, F.lit(1)) == F.substring(a, prefix + ae + 1, F.lit(1))
+
+
+def _no_variant(alt: Column) -> Column:
+    return alt.isin("<X>", "<*>", "<NON_REF>")
+
+
+def variant_type(ref: Column, alt: Column) -> Column:
+    """Type code of one alternative allele against the reference, in any case of letters."""
+    single = (F.length(ref) == 1) & (F.length(alt) == 1)
+    prefix, re, ae, equal = _rests(ref, alt)
+    return (
+        F.when(alt == "*", F.lit(OVERLAP))
+        .when(single, F.when((alt == ref) | alt.isin(".", "X"), F.lit(REF)).otherwise(F.lit(SNP)))
+        .when(alt.startswith("<"), F.when(_no_variant(alt), F.lit(REF)).otherwise(F.lit(OTHER)))
+        .when((prefix == F.length(ref)) & (prefix == F.length(alt)), F.lit(REF))
+        .when((prefix == F.length(ref)) & F.substring(alt, prefix + 1, F.lit(1)).isin("[", "]"), F.lit(BND))
+        .when((prefix == F.length(ref)) | (prefix == F.length(alt)), F.lit(INDEL))
+        .when((re == 0) & (ae == 0), F.lit(SNP))
+        .when((re == 0) | (ae == 0), F.when(equal, F.lit(INDEL)).otherwise(F.lit(OTHER)))
+        .otherwise(F.when(re == ae, F.lit(MNP)).otherwise(F.lit(OTHER)))
+    )
+
+
+def variant_length(ref: Column, alt: Column) -> Column:
+    """Letters that one alternative allele adds, takes away (below 0) or changes; null for symbolic ones and breakends."""
+    kind = variant_type(ref, alt)
+    prefix, re, ae, _ = _rests(ref, alt)
     return (
-        F.when((a == r) | a.isin(".", "<X>", "<*>"), F.lit(REF))
-        .when(a == "*", F.lit(OVERLAP))
-        .when(a.contains("[") | a.contains("]"), F.lit(BND))
-        .when(a.startswith("<"), F.lit(OTHER))
-        .when(rest_r != rest_a, F.lit(INDEL))
-        .when(rest_r <= 1, F.lit(SNP))
-        .otherwise(F.lit(MNP))
+        F.when(kind.isin(REF, OVERLAP), F.lit(0))
+        .when(kind == SNP, F.lit(1))
+        .when((kind == BND) | alt.startswith("<"), F.lit(None))
+        .when((prefix == F.length(ref)) | (prefix == F.length(alt)), F.length(alt) - F.length(ref))
+        .when(ae == 0, -re)
+        .when(re == 0, ae)
+        .when(re > ae, -(re + 1))
+        .otherwise(ae + 1)
     )
 
 

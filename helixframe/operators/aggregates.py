@@ -17,7 +17,7 @@ def idxstats(reads: DataFrame) -> DataFrame:
 def duplicate_table(reads: DataFrame, short: int = 12, long: int = 32, start: int = 0) -> DataFrame:
     """key, kmer, n, gc: for each short k-mer the smallest long k-mer and how many reads have it.
 
-    Supplementary reads, reads shorter than ``long`` and reads with other bases
+    Both k-mers start at the same letter.  Supplementary reads, reads shorter than ``long`` and reads with other bases
     than ACGT there don't count.
     """
     kmer = F.substring("seq", start + 1, long)

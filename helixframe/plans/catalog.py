@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, cigar, sequence, variant
 from ..functions.filters import compile_filter
 from ..functions.stats import fisher_two_tailed
-from ..operators import aggregates, intervals, merge, pileup
+from ..operators import aggregates, intervals, merge, pileup, qc
+from ..sources import bam, text
+from ..sources.shared import shared_path
+from ..streaming import windows
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +56,8 @@ FILTERS = {
     "arith": ("pos % 23 == 11 || (mapq + 1) * 2 > 100", "(pos + 1) % 23 = 11 OR (mapq + 1) * 2 > 100"),
     "bit": ("flag & 0x10 && !(flag & 4) || flag ^ 3 == 14", "((flag & 16 <> 0) AND flag & 4 = 0) OR xor(flag, 3) = 14"),
     "cmp": ("mapq > 30 && rname == \"s3\"", "mapq > 30 AND rname = 's3'"),
-    "regex": ('[MD] =~ "A.*[:alpha:]A" || qname =~ "7$"', "coalesce(regexp_matches(md, 'A.*[[:alpha:]]A'), false) OR regexp_matches(qname, '7$')"),
-    "func": ("length(seq) != qlen || length(qname) > 4", "len(qname) > 4"),
+    "regex": ('[MD] =~ "A.*[[:alpha:]]A" || qname =~ "7$"', "coalesce(regexp_matches(md, 'A.*[[:alpha:]]A'), false) OR regexp_matches(qname, '7$')"),
+    "func": ("length(seq) != qlen && rlen > 40 || length(qname) > 3", "(length(seq) <> {qlen} AND {rlen} > 40) OR len(qname) > 3"),
     "fold": ("mapq < 5 || tlen > 0 && flag.reverse", "(mapq < 5 OR tlen > 0) AND flag & 16 <> 0"),
     "tag": ("[NM] && [NM] >= 3", "nm IS NOT NULL AND nm >= 3"),
     "presence": ("[NM] && !([MD] == \"x\")", "nm IS NOT NULL"),
@@ -64,7 +67,7 @@ FILTERS = {
 RLEN_SQL = "coalesce(list_sum(list_transform(regexp_extract_all(cigar, '\\d+[MDN=X]'), lambda x: CAST(x[1 : len(x) - 1] AS BIGINT))), 0)"
 QLEN_SQL = RLEN_SQL.replace("MDN=X", "MIS=X")
 for _name, (_text, _sql) in FILTERS.items():
-    query(f"filter_expr_{_name}", f"SELECT doc_id FROM {{reads}} WHERE {_sql.replace('{rlen}', RLEN_SQL)}")(lambda s, d, text=_text: V.reads(s, d).filter(compile_filter(text)).select("doc_id"))
+    query(f"filter_expr_{_name}", f"SELECT doc_id FROM {{reads}} WHERE {_sql.replace('{rlen}', RLEN_SQL).replace('{qlen}', QLEN_SQL)}")(lambda s, d, text=_text: V.reads(s, d).filter(compile_filter(text)).select("doc_id"))
 query("filter_expr_qual", "SELECT doc_id FROM {reads} WHERE (53.0 * (length(seq) - length(replace(seq, 'A', ''))) + 58.0 * (length(seq) - length(replace(seq, 'C', ''))) + 63.0 * (length(seq) - length(replace(seq, 'G', ''))) + 68.0 * (length(seq) - length(replace(seq, 'T', '')))) / length(seq) >= 60 AND contains(seq, 'A')")(
     lambda s, d: V.reads(s, d).filter(compile_filter("avg(qual) >= 60 && min(qual) == 53")).select("doc_id")
 )
@@ -141,7 +144,13 @@ query("sorted_check_lag", "SELECT chrom, CAST(count(*) FILTER (beg < before) AS
 
 # Joins of records
 
-query("mate_self_join", "SELECT a.qname, a.pos AS first_pos, b.pos AS second_pos FROM {reads} a JOIN {reads} b ON a.qname = b.qname AND a.rname = b.rname WHERE a.flag & 1 <> 0 AND a.flag & 64 <> 0 AND b.flag & 1 <> 0 AND b.flag & 128 <> 0")(lambda s, d: merge.mates(V.reads(s, d)))
+#: Mates next to each other: each pair on one reference, its ends told apart by a flag.
+_PAIRED = {"tid": "CAST(doc_id // 2 % 20 AS INT)", "mtid": "CAST(doc_id // 2 % 20 - doc_id // 2 % 7 // 6 AS INT)", "flag": "(flag & 3903) | CASE WHEN doc_id % 2 = 0 THEN 64 ELSE 128 END"}
+_PAIRS_SQL = "(SELECT * REPLACE (" + ", ".join(f"{e} AS {n}" for n, e in _PAIRED.items()) + f"), pos + greatest(CASE WHEN flag & 4 <> 0 THEN 0 ELSE {RLEN_SQL} END, 1) AS endpos FROM {{reads}})"
+_GATE = "{0}.flag & 2 <> 0 AND {0}.flag & 8 = 0 AND {0}.tid = {0}.mtid AND NOT (abs({0}.tlen) >= 2 * length({0}.seq) AND {0}.mpos >= {0}.endpos)"
+query("mate_self_join", f"SELECT a.qname, a.pos AS first_pos, b.pos AS second_pos FROM {_PAIRS_SQL} a JOIN {_PAIRS_SQL} b ON a.qname = b.qname AND a.tid = b.tid WHERE a.flag & 64 <> 0 AND b.flag & 128 <> 0 AND {_GATE.format('a')} AND {_GATE.format('b')}")(
+    lambda s, d: merge.mates(V.reads(s, d).withColumns({n: F.expr(e.replace("//", "div")) for n, e in _PAIRED.items()}))
+)
 
 
 @query("library_join", "SELECT r.doc_id, coalesce(g.lb, '') AS library FROM {reads} r LEFT JOIN (VALUES ('x0', 'libA'), ('x1', 'libB')) g(id, lb) ON r.rg = g.id")
@@ -158,11 +167,22 @@ query("nway_full_merge", "SELECT chrom, pos, upper(concat_ws('>', ref, alt)) AS
 # Variants
 
 
-@query("variant_type", "SELECT ref, alt, CASE WHEN ref = alt THEN 0 WHEN length(ref) <> length(alt) THEN 4 WHEN length(ref) = 1 THEN 1 WHEN hamming(ref, alt) = 1 THEN 1 WHEN length(ref) = 3 AND (ref[1] = alt[1] OR ref[3] = alt[3]) THEN 2 ELSE 2 END AS kind, count(*) AS n FROM {variants} GROUP BY 1, 2, 3")
+_TYPED = """WITH v AS (SELECT ref, alt, length(ref) AS nr, length(alt) AS na, count(*) AS n FROM {variants} GROUP BY 1, 2),
+p AS (SELECT *, len(list_filter(range(1, least(nr, na) + 1), lambda i: ref[1:i] = alt[1:i])) AS pre FROM v),
+r AS (SELECT *, len(list_filter(range(1, least(nr, na) - pre), lambda i: ref[nr - i + 1:nr] = alt[na - i + 1:na])) AS suf FROM p),
+e AS (SELECT *, nr - pre - 1 - suf AS re, na - pre - 1 - suf AS ae FROM r),
+t AS (SELECT ref, alt, n, CASE WHEN nr = 1 AND na = 1 THEN CASE WHEN ref = alt THEN 0 ELSE 1 END WHEN pre = nr AND pre = na THEN 0 WHEN pre = nr OR pre = na THEN 4
+  WHEN ae = 0 AND re = 0 THEN 1 WHEN ae = 0 OR re = 0 THEN CASE WHEN ref[pre + re + 1] = alt[pre + ae + 1] THEN 4 ELSE 8 END WHEN re = ae THEN 2 ELSE 8 END AS kind,
+  CASE WHEN nr = 1 AND na = 1 THEN CASE WHEN ref = alt THEN 0 ELSE 1 END WHEN pre = nr OR pre = na THEN na - nr WHEN ae = 0 AND re = 0 THEN 1 WHEN ae = 0 THEN -re WHEN re = 0 THEN ae WHEN re > ae THEN -(re + 1) ELSE ae + 1 END AS size FROM e) """
+
+
+@query("variant_type", _TYPED + "SELECT ref, alt, kind, CAST(size AS INT) AS size, n FROM t")
 def variant_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.variants(spark, sf_dir).groupBy("ref", "alt").agg(F.count("*").alias("n")).withColumn("kind", variant.variant_type(F.col("ref"), F.col("alt")))
+    groups = V.variants(spark, sf_dir).groupBy("ref", "alt").agg(F.count("*").alias("n"))
+    return groups.select("ref", "alt", "n", variant.variant_type(F.col("ref"), F.col("alt")).alias("kind"), variant.variant_length(F.col("ref"), F.col("alt")).cast("int").alias("size"))
 
 
+query("record_types", _TYPED + "SELECT ref, CAST(bit_or(kind) AS INT) AS kinds FROM t GROUP BY ref")(lambda s, d: V.variants(s, d).groupBy("ref").agg(F.collect_set("alt").alias("alts")).select("ref", variant.record_types(F.col("ref"), F.col("alts")).alias("kinds")))
 query("is_snp", "SELECT ref, alt, length(ref) = 1 AND length(alt) = 1 AS snp, count(*) AS n FROM {variants} GROUP BY 1, 2, 3")(lambda s, d: V.variants(s, d).groupBy("ref", "alt").agg(F.count("*").alias("n")).withColumn("snp", variant.is_snp(F.col("ref"), F.array("alt"))))
 query("allele_count", "SELECT chrom, pos, CAST(a AS INT) AS allele, count(*) AS n FROM (SELECT chrom, pos, unnest(regexp_split_to_array(gt, '[/|]')) AS a FROM {variants}) WHERE a <> '.' GROUP BY 1, 2, 3")(
     lambda s, d: V.variants(s, d).select("chrom", "pos", F.explode(variant.alleles(F.col("gt"))).alias("allele")).filter("allele is not null").groupBy("chrom", "pos", "allele").agg(F.count("*").alias("n"))
@@ -200,3 +220,99 @@ query("event_session", "WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INT
     lambda s, d: V.events(s, d).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 )
 query("json_props", "SELECT event_id, CAST(props ->> '$.k' AS INT) AS k FROM events")(lambda s, d: V.events(s, d).select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))
+
+
+# Quality metrics
+
+_LETTERS = "(SELECT CAST(i - 1 AS INT) AS place, seq[i] AS base, CASE seq[i] WHEN 'A' THEN 20 WHEN 'C' THEN 25 WHEN 'G' THEN 30 ELSE 35 END AS q FROM {reads}, unnest(range(1, length(seq) + 1)) AS u(i))"
+_SHARES = ", ".join(f"round(count(*) FILTER (base = '{b}') / CAST(count(*) AS DOUBLE), 6) AS {b.lower()}_share" for b in "ACGT")
+query("quality_by_position", f"SELECT place, count(*) AS n, round(avg(q), 6) AS mean_quality FROM {_LETTERS} GROUP BY place")(lambda s, d: qc.quality_by_position(V.reads(s, d)))
+query("quality_hist", f"SELECT CAST(q AS INT) AS q, count(*) AS n FROM {_LETTERS} GROUP BY q")(lambda s, d: qc.quality_histogram(V.reads(s, d)))
+query("base_fractions", f"SELECT place, {_SHARES}, round(count(*) FILTER (base NOT IN ('A', 'C', 'G', 'T')) / CAST(count(*) AS DOUBLE), 6) AS other_share FROM {_LETTERS} GROUP BY place")(lambda s, d: qc.base_fractions(V.reads(s, d)))
+_COUNTED = "(SELECT length(seq) AS n, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS {b.lower()}" for b in "ACGT") + " FROM {reads} WHERE length(seq) > 0)"
+query("mean_quality_hist", f"SELECT CAST(floor((20.0 * a + 25.0 * c + 30.0 * g + 35.0 * t) / n) AS INT) AS mean_quality, count(*) AS n FROM {_COUNTED} GROUP BY 1")(lambda s, d: qc.mean_quality_histogram(V.reads(s, d)))
+
+# Files: a table goes out in the format and comes back
+
+_REFERENCES = [(f"s{i + 1}", 1 << 29) for i in range(20)]
+_ALIGNED = {"qname": "qname", "flag": "flag", "tid": "tid", "pos": "pos", "mapq": "mapq", "cigar": "CASE WHEN length(seq) > 0 THEN cigar END", "mtid": "mtid", "mpos": "mpos", "tlen": "tlen", "seq": "CASE WHEN length(seq) > 0 THEN seq END", "nm": "nm", "md": "md"}
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = V.reads(spark, sf_dir).withColumns({"cigar": F.expr(_ALIGNED["cigar"]), "seq": F.expr(_ALIGNED["seq"])})
+    nm, md = F.col("tags")["NM"]["d"].cast("int").cast("string"), F.col("tags")["MD"]["s"]
+    tags = F.array_compact(F.array(F.concat(F.lit("NM:i:"), nm), F.concat(F.lit("MD:Z:"), md)))
+    return reads.withColumns({"tags": tags, "qual": F.when(F.col("seq").isNotNull(), F.col("qual"))})
+
+
+def _bam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "bam")
+    bam.write_bam(_aligned(spark, sf_dir), path, _REFERENCES, "@HD\tVN:1.6\n")
+    return bam.read_bam(spark.read.parquet(path))
+
+
+def _tag(name: str) -> Column:
+    return F.get(F.filter("tags", lambda t: t.startswith(name + ":")), F.lit(0))
+
+
+query("bam_round_trip", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ALIGNED.items()) + ", translate(CASE WHEN length(seq) > 0 THEN seq END, 'ACGT', '5:?D') AS qual FROM {reads}")(
+    lambda s, d: _bam(s, d).select(*[n for n in _ALIGNED if n not in ("nm", "md")], F.substring(_tag("NM"), 6, 99).cast("bigint").alias("nm"), F.substring(_tag("MD"), 6, 9999).alias("md"), "qual")
+)
+query("round_trip_count", "SELECT count(*) AS n FROM {reads}")(lambda s, d: _bam(s, d).agg(F.count("*").alias("n")))
+
+
+@query("sam_round_trip", "SELECT qname, flag, rname, pos, mapq, CASE WHEN length(seq) > 0 THEN cigar END AS cigar, mrname, mpos, tlen, CASE WHEN length(seq) > 0 THEN seq END AS seq, CAST(nm AS VARCHAR) AS nm, md FROM {reads}")
+def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "sam")
+    tag = lambda x: F.struct(F.substring(x, 4, 1).alias("kind"), F.substring(x, F.lit(6), F.length(x)).alias("value"))
+    tags = F.map_from_entries(F.transform("tags", lambda x: F.struct(F.substring(x, 1, 2), tag(x))))
+    text.sam_lines(_aligned(spark, sf_dir).withColumn("tags", tags)).write.text(path)
+    kept = ["qname", "flag", "rname", "pos", "mapq", "cigar", "mrname", "mpos", "tlen", "seq"]
+    return text.read_sam(spark, path).select(*kept, F.col("tags")["NM"]["value"].alias("nm"), F.col("tags")["MD"]["value"].alias("md"))
+
+
+@query("fastq_round_trip", "SELECT concat('r', doc_id) AS name, concat('c', flag) AS comment, seq, translate(seq, 'ACGT', '@:?D') AS qual FROM {reads}")
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "fastq")
+    rows = V.reads(spark, sf_dir).select(F.concat(F.lit("r"), "doc_id").alias("name"), F.concat(F.lit("c"), "flag").alias("comment"), "seq", F.translate("seq", "ACGT", "@:?D").alias("qual"))
+    text.fastq_lines(rows).write.text(path)
+    return text.read_fastq(spark, path)
+
+
+@query("vcf_round_trip", "SELECT chrom, pos, ref, alt, CASE WHEN filters <> '.' THEN string_split(filters, ';')[1] END AS first_filter, gt FROM {variants}")
+def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "vcf")
+    rows = V.variants(spark, sf_dir).select("chrom", "pos", F.lit(None).cast("string").alias("id"), "ref", F.array("alt").alias("alts"), F.lit(50.0).alias("qual"), F.when(F.col("filters") != ".", F.split("filters", ";")).alias("filters"), F.create_map(F.lit("GT"), "gt", F.lit("DB"), F.lit(None).cast("string")).alias("info"))
+    text.vcf_lines(rows).write.text(path)
+    return text.read_vcf(spark, path).select("chrom", "pos", "ref", F.element_at("alts", 1).alias("alt"), F.get("filters", F.lit(0)).alias("first_filter"), F.col("info")["GT"].alias("gt"))
+
+
+@query("bed_round_trip", 'SELECT chrom, beg, "end", payload FROM {regions}')
+def bed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "bed")
+    V.regions(spark, sf_dir).select(F.concat_ws("\t", "chrom", "beg", "end", "payload").alias("value")).write.text(path)
+    return text.read_intervals(spark, path).select("chrom", "beg", "end", F.col("fields")[3].alias("payload"))
+
+
+# Streams over the events, run to the end of what is there
+
+
+def _streamed(make: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, path, checkpoint = (shared_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+        # A row far ahead of all others closes their windows; a stream's own would stay open.
+        events = V.events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+        last = events.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+        events.write.parquet(source)
+        last.write.mode("append").parquet(source)
+        made = make(spark.readStream.schema(events.schema).parquet(source))
+        windows.run_to_table(made, path, checkpoint)
+        return spark.read.schema(made.schema).parquet(path)
+
+    return run
+
+
+query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(_streamed(lambda e: windows.tumbling(e, "1 hour", "10 minutes", "event_type")))
+query("stream_sliding", ORACLES["event_sliding"])(_streamed(lambda e: windows.sliding(e, "3 hours", "1 hour", "10 minutes")))
+query("stream_sessions", ORACLES["event_session"])(_streamed(lambda e: windows.sessions(e, "30 minutes", "10 minutes", "user_id")))
+query("stream_dedupe", "SELECT DISTINCT event_id FROM events")(lambda s, d: _streamed(lambda e: windows.deduplicated(e.filter("event_id >= 0"), "event_id", "10 minutes").select("event_id"))(s, d))

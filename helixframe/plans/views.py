@@ -21,10 +21,10 @@ _READS = {
     "mpos": "doc_id * 104729 % 100000",
     "tlen": "doc_id % 1000 - 500",
     "rg": "concat('x', doc_id % 3)",
-    "seq": "substr(upper(letters), 1, 150)",
-    "cigar": "CASE WHEN length(letters) < 20 THEN concat(length(letters), 'M') WHEN doc_id % 4 = 0 THEN concat(least(150, length(letters)), 'M')"
-    " WHEN doc_id % 4 = 1 THEN concat('5S', least(150, length(letters)) - 5, 'M') WHEN doc_id % 4 = 2 THEN concat('10M3D', least(150, length(letters)) - 10, 'M')"
-    " ELSE concat('10M2I', least(150, length(letters)) - 12, 'M') END",
+    "seq": "upper(letters)",
+    "cigar": "CASE WHEN length(letters) < 20 THEN concat(length(letters), 'M') WHEN doc_id % 4 = 0 THEN concat(length(letters), 'M')"
+    " WHEN doc_id % 4 = 1 THEN concat('5S', length(letters) - 5, 'M') WHEN doc_id % 4 = 2 THEN concat('10M3D', length(letters) - 10, 'M')"
+    " ELSE concat('10M2I', length(letters) - 12, 'M') END",
     "nm": "CASE WHEN doc_id % 5 <> 0 THEN doc_id % 7 END",
     "md": "CASE WHEN doc_id % 4 <> 0 THEN concat(doc_id % 50, 'A', doc_id % 9, CASE WHEN doc_id % 3 = 0 THEN 'CA' ELSE 'T' END, doc_id % 11) END",
 }

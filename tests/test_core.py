@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions.filters import FilterError, Value, compile_filter
+from helixframe.functions import variant
+from helixframe.functions.filters import FilterError, Value, compile_filter, java_pattern
 from helixframe.operators import intervals
 from helixframe.plans.catalog import ORACLES, QUERIES
 
@@ -54,6 +55,21 @@ def test_filter_truth(spark):
     assert not wrong
 
 
+def test_bracket_expressions():
+    assert java_pattern("A.*[[:alpha:]]A") == r"A.*[\p{Alpha}]A"
+    assert java_pattern("[:alpha:]A") == "[:alpha:]A"
+    assert java_pattern("[^]a[:digit:]&&]") == r"[^\]a\d\&\&]"
+
+
+ALLELES = [("A", "G", 1, 1), ("A", "a", 1, 1), ("A", ".", 0, 0), ("A", "X", 0, 0), ("A", "*", 32, 0), ("A", "<X>", 0, 0), ("A", "<NON_REF>", 0, 0), ("A", "<DEL>", 8, None), ("A", "AT", 4, 1), ("ACT", "A", 4, -2), ("A", "GAT", 8, 2), ("AC", "GTA", 8, 3), ("AC", "GT", 2, 2), ("ACG", "ATG", 1, 1), ("AA", "A", 4, -1), ("CAT", "T", 4, -2), ("A", "A[2:7[", 16, None), ("ACGT", "TA", 8, -4)]
+
+
+def test_variant_types(spark):
+    rows = spark.createDataFrame([(r, a) for r, a, *_ in ALLELES], "ref string, alt string")
+    got = rows.select("ref", "alt", variant.variant_type(F.col("ref"), F.col("alt")).alias("k"), variant.variant_length(F.col("ref"), F.col("alt")).alias("n")).collect()
+    assert [tuple(r) for r in got] == ALLELES
+
+
 def test_filter_errors(spark):
     for text in ("1 +", '"a" + 1', '1 =~ "x"', "nosuch", "(1"):
         with pytest.raises(FilterError):
