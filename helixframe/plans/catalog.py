@@ -145,7 +145,7 @@ query("sorted_check_lag", "SELECT chrom, CAST(count(*) FILTER (beg < before) AS
 # Joins of records
 
 #: Mates next to each other: each pair on one reference, its ends told apart by a flag.
-_PAIRED = {"tid": "CAST(doc_id // 2 % 20 AS INT)", "mtid": "CAST(doc_id // 2 % 20 - doc_id // 2 % 7 // 6 AS INT)", "flag": "(flag & 3903) | CASE WHEN doc_id % 2 = 0 THEN 64 ELSE 128 END"}
+_PAIRED = {"tid": "CAST(doc_id // 2 % 20 AS INT)", "mtid": "CAST(doc_id // 2 % 20 - doc_id // 2 % 7 // 6 AS INT)", "flag": "(flag & 3893) | CASE WHEN doc_id % 2 = 0 THEN 64 ELSE 128 END | CASE WHEN doc_id // 2 % 5 = 0 THEN 10 ELSE 2 END"}
 _PAIRS_SQL = "(SELECT * REPLACE (" + ", ".join(f"{e} AS {n}" for n, e in _PAIRED.items()) + f"), pos + greatest(CASE WHEN flag & 4 <> 0 THEN 0 ELSE {RLEN_SQL} END, 1) AS endpos FROM {{reads}})"
 _GATE = "{0}.flag & 2 <> 0 AND {0}.flag & 8 = 0 AND {0}.tid = {0}.mtid AND NOT (abs({0}.tlen) >= 2 * length({0}.seq) AND {0}.mpos >= {0}.endpos)"
 query("mate_self_join", f"SELECT a.qname, a.pos AS first_pos, b.pos AS second_pos FROM {_PAIRS_SQL} a JOIN {_PAIRS_SQL} b ON a.qname = b.qname AND a.tid = b.tid WHERE a.flag & 64 <> 0 AND b.flag & 128 <> 0 AND {_GATE.format('a')} AND {_GATE.format('b')}")(
