@@ -26,6 +26,8 @@ LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 TEXTS, WINDOWS = 400, 3
 EPOCHS, BATCH, RATE = 10, 64, 0.02
 UNKNOWN = "und"
+#: Windows that prediction takes together: their responses fit a core's cache.
+TOGETHER = 64
 #: Labelled texts that set the least score of a kept text, the share of the rightly told ones whose score it is taken from, and what part of that score.
 CALIBRATION, BELOW, MARGIN = 4_000, 0.001, 0.8
 
@@ -131,9 +133,9 @@ class Network:
         """Probabilities of each text: the mean over its windows, weighed by their bytes."""
         own, owner, held = windows(raw, ends)
         out = np.zeros((len(ends) - 1, len(self.languages)))
-        for at in range(0, len(own), 1024):
-            part = self.probabilities(self.pooled(own[at : at + 1024])) * held[at : at + 1024, None]
-            np.add.at(out, owner[at : at + 1024], part)
+        for at in range(0, len(own), TOGETHER):
+            part = self.probabilities(self.pooled(own[at : at + TOGETHER])) * held[at : at + TOGETHER, None]
+            np.add.at(out, owner[at : at + TOGETHER], part)
         return out / np.maximum(out.sum(1, keepdims=True), 1e-12)
 
 
