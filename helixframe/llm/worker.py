@@ -27,17 +27,22 @@ def _settle() -> None:
             _libc.mallopt(TRIM_THRESHOLD, MMAP_BYTES)
 
 
+def _trim() -> None:
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
     """``run`` over the batches of a task; what it freed goes back to the system at the task's end."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterable) -> Iterator:
+        # Functions of this module alone: Spark sends ``wrapped`` with what it names, and a library can't be sent.
         _settle()
         try:
             yield from run(batches)
         finally:
-            if hasattr(_libc, "malloc_trim"):
-                _libc.malloc_trim(0)
+            _trim()
 
     return wrapped
 
