@@ -376,3 +376,68 @@ def test_components_by_steps(spark, monkeypatch):
     monkeypatch.setattr(components, "TASK_LINKS", 0)
     assert {r["node"]: r["component"] for r in components.components(links.filter("a <> b"), scratch).collect()} == one
     assert one[1030] == 1000
+
+
+def test_language_network_by_loops():
+    """Prediction against a plain loop over filters, windows and bytes."""
+    network = langid.Network(["a", "b", "c"])
+    text = ("Größe und Maß, " * 30).encode()
+    raw, ends = np.frombuffer(text + b"tiny", np.uint8), np.array([0, len(text), len(text) + 4])
+    want = []
+    for a, b in zip(ends, ends[1:]):
+        total = np.zeros(3)
+        for start in range(a, b, langid.LENGTH):
+            own = langid.folded(raw[a:b])[start - a : start - a + langid.LENGTH]
+            padded = np.full(langid.LENGTH, 32, np.uint8)
+            padded[: len(own)] = own
+            pooled = [max(sum(table[j][padded[i + j]][f] for j in range(len(table))) for i in range(langid.LENGTH - len(table) + 1)) for table in network.tables for f in range(langid.FILTERS)]
+            score = np.maximum(np.array(pooled) + network.bias, 0) @ network.dense + network.shift
+            total += np.exp(score) / np.exp(score).sum() * len(own)
+        want.append(total / total.sum())
+    assert np.allclose(network.predict(raw, ends), want, atol=1e-5)
+
+
+def test_quality_posteriors_by_loops(spark):
+    """Posteriors and scores against plain sums over sites; names that clash are replaced."""
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    rows = [(i, "good words here" if i % 3 else "", f"h{i % 2}", f"p{i % 4}", 1.0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, host_posterior double")
+    got = {r["doc_id"]: r for r in quality.scored(docs, labels, F.col("host"), F.col("path")).collect()}
+    p = {i: 0.5 if text else 0.0 for i, text, *_ in rows}
+    mean = sum(p.values()) / 40
+
+    def weight(groups):
+        spread = sum(len(g) * (sum(p[i] for i in g) / len(g) - m) ** 2 for g, m in groups) / 40 - mean * (1 - mean) * len(groups) / 40
+        return min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 2.0), 1e4)
+
+    hosts = {h: [i for i, _, own, *_ in rows if own == h] for h in ("h0", "h1")}
+    first = weight([(g, mean) for g in hosts.values()])
+    posterior = {h: (first * mean + sum(p[i] for i in g)) / (first + len(g)) for h, g in hosts.items()}
+    paths = {(h, s): [i for i, _, own, path, _ in rows if (own, path) == (h, s)] for h in hosts for s in {r[3] for r in rows if r[2] == h}}
+    second = weight([(g, posterior[h]) for (h, _), g in paths.items()])
+    for (h, _), group in paths.items():
+        for i in group:
+            left = (second * posterior[h] + sum(p[j] for j in group) - p[i]) / (second + len(group) - 1)
+            odds = 0.0 + np.log(left / (1 - left)) - np.log(mean / (1 - mean))
+            assert got[i]["host_posterior"] == pytest.approx(posterior[h]) and got[i]["path_posterior"] == pytest.approx(left)
+            assert got[i]["quality_score"] == pytest.approx(1 / (1 + np.exp(-odds)) if p[i] else 0.0)
+
+
+def test_mixing_nears_its_targets(spark):
+    """Taken words come near the targets, also of a source without doc_ids; reruns agree; names may clash."""
+    rows = [(i if i % 4 else None, f"word{i} " * (1 + i % 9), "abcd"[i % 4]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_source", F.lit(1))
+    sums = mixing.mix(docs).groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    once = {r["source"]: r for r in sums.collect()}
+    assert all(abs(r["taken"] - r["target"]) <= 0.05 * r["target"] for r in once.values())
+    assert {r["source"]: r["taken"] for r in sums.collect()} == {s: r["taken"] for s, r in once.items()}
+
+
+def test_pipeline_odd_and_empty(spark, odd):
+    import corpus_pipeline
+
+    columns = ["doc_id", "text", "lang", "source", "id"]
+    for docs in (odd.select(*columns), odd.select(*columns).limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == ["doc_id", "source", "n_tokens", "ids"] and docs.count() <= 2 * len(ODD)
