@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pileup import running, steps
+
 BIN_SHIFT = 13
 
 
@@ -32,19 +34,25 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", shift: i
         owner = F.greatest(F.shiftright("beg", shift), F.shiftright("r_beg", shift))
         on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin")) & (F.col("beg") < F.col("r_end")) & (F.col("r_beg") < F.col("end")) & (F.col("_bin") == owner)
         return left_bins.join(r, on).drop("_bin", "_rbin")
-    # A left row may stand in several bins, so the distinct intervals that hit decide.
-    hits = overlap_join(left.select("chrom", "beg", "end").distinct(), right.select("chrom", "beg", "end"), "inner", shift).select("chrom", "beg", "end").distinct()
-    return left.join(hits, ["chrom", "beg", "end"], how).select(*left.columns)
+    # Most left rows lie within one bin and need one join alone; of the others the distinct intervals that hit decide.
+    whole = (F.col("end") <= F.col("beg")) | (F.shiftright("beg", shift) == F.shiftright(F.col("end") - 1, shift))
+    on = (F.col("chrom") == F.col("r_chrom")) & (F.shiftright("beg", shift) == F.col("_rbin")) & (F.col("beg") < F.col("r_end")) & (F.col("r_beg") < F.col("end")) & (F.col("end") > F.col("beg"))
+    narrow = left.filter(F.coalesce(whole, F.lit(True))).join(r.select("r_chrom", "r_beg", "r_end", "_rbin"), on, how)
+    wide = left.filter(~whole)
+    hits = overlap_join(wide.select("chrom", "beg", "end").distinct(), right.select("chrom", "beg", "end"), "inner", shift).select("chrom", "beg", "end").distinct()
+    return narrow.unionByName(wide.join(hits, ["chrom", "beg", "end"], how).select(*left.columns))
 
 
 def compact(regions: DataFrame, touching: bool = True) -> DataFrame:
-    """chrom, beg, end: overlapping (or touching) half-open intervals merged."""
-    by = Window.partitionBy("chrom").orderBy("beg", "end")
-    seen = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col("beg") > seen if touching else F.col("beg") >= seen
-    marked = regions.withColumn("_new", (seen.isNull() | gap).cast("int"))
-    island = F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy("chrom", "_island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("_island")
+    """chrom, beg, end: overlapping (or touching) half-open intervals merged; empty ones and those without a chrom go.
+
+    Islands are where depth is above 0.  Where touching intervals stay apart,
+    places are doubled and each end moved in by one.
+    """
+    scaled = regions if touching else regions.withColumns({"beg": F.col("beg") * 2, "end": F.col("end") * 2 - 1})
+    edges = running(steps(scaled)).filter("total = 0 OR total = d").select("chrom", "at", "d")
+    found = running(edges).filter("d > 0").select("chrom", F.col("at").alias("beg"), F.col("next").alias("end"))
+    return found if touching else found.select("chrom", F.expr("beg div 2").alias("beg"), F.expr("(end + 1) div 2").alias("end"))
 
 
 _SCALE = {"k": 10**3, "K": 10**3, "m": 10**6, "M": 10**6, "g": 10**9, "G": 10**9}

@@ -136,6 +136,24 @@ query("pileup_depth", 'SELECT chrom, pos, count(*) AS depth FROM {alignments}, u
 query("pileup_explode", "SELECT rname AS chrom, pos + i - 1 AS pos, seq[i] AS base, count(*) AS n FROM {reads}, unnest(range(1, length(seq) + 1)) AS u(i) WHERE flag & 4 = 0 AND rname IS NOT NULL GROUP BY 1, 2, 3")(
     lambda s, d: pileup.pileup(V.reads(s, d).filter("flag & 4 = 0 AND rname IS NOT NULL").select(F.col("rname").alias("chrom"), F.col("pos").alias("beg"), "seq"))
 )
+#: What the four kinds of CIGAR of the view say of position i of a read: place in the read (null in a deletion) and the indel after it.
+_KIND = "CASE WHEN length(seq) < 20 THEN 0 ELSE doc_id % 4 END"
+_SPAN = f"(CASE {_KIND} WHEN 1 THEN length(seq) - 5 WHEN 2 THEN length(seq) + 3 WHEN 3 THEN length(seq) - 2 ELSE length(seq) END)"
+_PLACED = f"""(SELECT doc_id, rname AS chrom, pos + i AS pos, i = 0 AS head, i = span - 1 AS tail, tid, seq,
+  CASE kind WHEN 1 THEN i + 5 WHEN 2 THEN CASE WHEN i < 10 THEN i WHEN i >= 13 THEN i - 3 END WHEN 3 THEN CASE WHEN i < 10 THEN i ELSE i + 2 END ELSE i END AS q,
+  CASE WHEN kind = 2 AND i = 9 THEN -3 WHEN kind = 3 AND i = 9 THEN 2 ELSE 0 END AS indel
+  FROM (SELECT *, {_KIND} AS kind, {_SPAN} AS span FROM {{reads}} WHERE flag & 4 = 0 AND rname IS NOT NULL), unnest(range(0, span)) AS u(i))"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.reads(spark, sf_dir).filter("flag & 4 = 0 AND rname IS NOT NULL").select("tid", F.col("rname").alias("chrom"), "pos", "cigar", "seq")
+
+
+query("pileup_cigar", "SELECT chrom, pos, count(*) AS depth, " + ", ".join(f"count(*) FILTER (q IS NOT NULL AND seq[q + 1] = '{b}') AS {b.lower()}" for b in "ACGT") + f", count(*) FILTER (q IS NULL) AS dels, count(*) FILTER (indel > 0) AS inserts, count(*) FILTER (indel < 0) AS deletes, count(*) FILTER (head) AS heads, count(*) FILTER (tail) AS tails FROM {_PLACED} GROUP BY 1, 2")(
+    lambda s, d: pileup.pileup_counts(_mapped(s, d))
+)
+query("pileup_insertions", f"SELECT chrom, pos, seq[q + 2 : q + 1 + indel] AS inserted, count(*) AS n FROM {_PLACED} WHERE indel > 0 GROUP BY 1, 2, 3")(lambda s, d: pileup.insertions(_mapped(s, d)))
+query("pileup_nway", "SELECT chrom, pos, " + ", ".join(f"count(*) FILTER (tid % 3 = {i}) AS n_{i}" for i in range(3)) + f" FROM {_PLACED} GROUP BY 1, 2")(lambda s, d: pileup.nway_pileup(_mapped(s, d).withColumn("input", F.col("tid") % 3), "input", 3))
 query("top_depth", 'SELECT chrom, pos, count(*) AS depth FROM {alignments}, unnest(range(beg, "end")) AS u(pos) GROUP BY 1, 2 ORDER BY depth DESC, chrom, pos LIMIT 25')(lambda s, d: pileup.position_depth(V.alignments(s, d)).orderBy(F.desc("depth"), "chrom", "pos").limit(25))
 query("coord_sort", "SELECT doc_id, rname, pos FROM {reads} ORDER BY rname NULLS LAST, pos")(lambda s, d: V.reads(s, d).select("doc_id", "rname", "pos").orderBy(F.asc_nulls_last("rname"), "pos"))
 query("sorted_check_lag", "SELECT chrom, CAST(count(*) FILTER (beg < before) AS BIGINT) AS unsorted FROM (SELECT chrom, beg, lag(beg) OVER (PARTITION BY chrom ORDER BY mapq, beg) AS before FROM {alignments}) GROUP BY chrom")(
