@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, cigar, sequence, variant
 from ..functions.filters import compile_filter
-from ..functions.stats import fisher_two_tailed
-from ..operators import aggregates, intervals, merge, pileup, qc
+from ..functions.basemods import base_mods
+from ..functions.stats import fisher
+from ..operators import aggregates, intervals, merge, pileup, qc, synced
 from ..sources import bam, text
 from ..sources.shared import shared_path
 from ..streaming import windows
@@ -218,12 +219,59 @@ query("header_union", "SELECT DISTINCT chrom FROM (SELECT chrom FROM {alignments
 query("contigs_common", "SELECT chrom FROM {alignments} INTERSECT SELECT chrom FROM {regions}")(lambda s, d: V.alignments(s, d).select("chrom").intersect(V.regions(s, d).select("chrom")))
 
 
-@query("fisher_exact")
+_TABLES = """SELECT chrom, pos, count(*) FILTER (z AND e) AS a, count(*) FILTER (z AND NOT e) AS b, count(*) FILTER (NOT z AND e) AS c, count(*) FILTER (NOT z AND NOT e) AS d
+  FROM (SELECT chrom, pos, gt[1] = '0' AS z, sample % 2 = 0 AS e FROM {variants}) GROUP BY 1, 2"""
+_LOG = "CASE WHEN {0} <= 1 THEN 0 ELSE lgamma({0} + 1) END"
+_CHANCE = "exp(" + " + ".join(_LOG.format(x) for x in ("(a + b)", "(c + d)", "(a + c)", "(b + d)")) + " - " + " - ".join(_LOG.format(x) for x in ("(a + b + c + d)", "x", "(a + b - x)", "(a + c - x)", "(d - a + x)")) + ")"
+
+
+@query("fisher_exact", f"""WITH t AS ({_TABLES}), u AS (SELECT DISTINCT a, b, c, d FROM t), s AS (SELECT a, b, c, d, x, {_CHANCE} AS p FROM u, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS r(x)),
+  o AS (SELECT *, max(p) FILTER (x = a) OVER (PARTITION BY a, b, c, d) AS own FROM s), f AS (SELECT a, b, c, d, sum(p) FILTER (x <= a) AS l, sum(p) FILTER (x >= a) AS r, sum(p) FILTER (p <= own * 1.0000001) AS w FROM o GROUP BY ALL)
+  SELECT chrom, pos, t.a, t.b, t.c, t.d, round(least(l, 1.0), 9) AS left_p, round(least(r, 1.0), 9) AS right_p, round(least(w, 1.0), 9) AS p FROM t JOIN f ON t.a = f.a AND t.b = f.b AND t.c = f.c AND t.d = f.d""")
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strand bias: alleles against strands at every position."""
     zero, even = F.substring("gt", 1, 1) == "0", F.col("sample") % 2 == 0
     counts = V.variants(spark, sf_dir).groupBy("chrom", "pos").agg(*(F.count_if(x & y).alias(n) for n, x, y in (("a", zero, even), ("b", zero, ~even), ("c", ~zero, even), ("d", ~zero, ~even))))
-    return counts.withColumn("p", F.round(fisher_two_tailed(*map(F.col, "abcd")), 9))
+    found = counts.withColumn("f", fisher(*map(F.col, "abcd")))
+    return found.select("chrom", "pos", *"abcd", *(F.round(f"f.{x}", 9).alias(n) for x, n in (("left", "left_p"), ("right", "right_p"), ("two", "p"))))
+
+
+# Records of several inputs
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.variants(spark, sf_dir).withColumn("alts", F.array("alt"))
+
+
+_PREFIX = "len(list_filter(range(1, least(length(ref), length(alt)) + 1), lambda i: ref[1:i] = alt[1:i]))"
+_ISLANDS = ORACLES["region_compact"].replace("beg > seen", "beg >= seen")
+for _mode, _first, _last in ((synced.POSITION, "pos", "pos"), (synced.RECORD, "pos", "pos + length(ref) - 1"), (synced.VARIANT, f"pos + {_PREFIX}", "pos + length(ref) - 1")):
+    query(f"regions_overlap_{_mode}", f"WITH k AS ({_ISLANDS}) SELECT chrom, pos, ref, alt, gt FROM (SELECT *, {_first} AS f, {_last} AS l FROM {{variants}}) v WHERE EXISTS (SELECT 1 FROM k WHERE k.chrom = v.chrom AND k.beg <= v.l AND v.f < k.\"end\")")(
+        lambda s, d, mode=_mode: synced.in_regions(_records(s, d), V.regions(s, d), mode).select("chrom", "pos", "ref", "alt", "gt")
+    )
+query("targets_exclude", f"WITH k AS ({_ISLANDS}) SELECT chrom, pos, ref, alt, gt FROM {{variants}} v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.chrom = v.chrom AND k.beg < v.pos + length(v.ref) AND v.pos < k.\"end\")")(
+    lambda s, d: synced.in_regions(_records(s, d), V.regions(s, d), exclude=True).select("chrom", "pos", "ref", "alt", "gt")
+)
+query("targets_alleles", "SELECT chrom, pos, ref, alt, gt FROM {variants} v WHERE sample > 1 AND EXISTS (SELECT 1 FROM {variants} t WHERE t.sample = 1 AND t.chrom = v.chrom AND t.pos = v.pos AND t.ref = v.ref AND t.alt = v.alt)")(
+    lambda s, d: synced.at_targets(_records(s, d).filter("sample > 1"), _records(s, d).filter("sample = 1").select("chrom", "pos", "ref", "alts")).select("chrom", "pos", "ref", "alt", "gt")
+)
+query("pair_exact", "SELECT chrom, pos, allele, list_sort(list(which)) AS inputs FROM (SELECT chrom, pos, concat(ref, '>', alt) AS allele, sample % 3 AS which, row_number() OVER (PARTITION BY chrom, pos, ref, alt, sample % 3) AS k FROM {variants}) GROUP BY chrom, pos, allele, k")(
+    lambda s, d: synced.paired(_records(s, d).withColumn("which", F.col("sample") % 3), "which").select("chrom", "pos", F.col("members")[0]["alleles"][0].alias("allele"), F.col("members.which").alias("inputs"))
+)
+query("pair_snps_indels")(lambda s, d: synced.paired(_records(s, d).withColumn("which", F.col("sample") % 3), "which", ["snps", "indels"]))
+
+
+# Modified bases: calls at the 1st, 3rd and 6th C as sequenced, where a read has so many
+
+_MARKS = "CASE WHEN flag & 16 <> 0 THEN list_reverse(list_filter(range(1, length(seq) + 1), lambda i: seq[i] = 'G')) ELSE list_filter(range(1, length(seq) + 1), lambda i: seq[i] = 'C') END"
+
+
+@query("base_mods", f"SELECT doc_id, CAST(m[x] - 1 AS INT) AS place, 'm' AS code, CAST(x * 20 AS INT) AS likelihood FROM (SELECT doc_id, {_MARKS} AS m FROM {{reads}}), unnest([1, 3, 6]) AS u(x) WHERE len(m) >= 6")
+def modified_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("flag")
+    enough = F.when(flag.bitwiseAND(F.lit(16)) != 0, sequence.base_count(F.col("seq"), "G")).otherwise(sequence.base_count(F.col("seq"), "C")) >= 6
+    calls = base_mods(F.col("seq"), flag, F.when(enough, F.lit("C+m?,0,1,2;")), F.when(enough, F.array(*map(F.lit, (20, 60, 120)))))
+    return V.reads(spark, sf_dir).select("doc_id", F.explode(calls).alias("m")).select("doc_id", F.col("m.pos").alias("place"), "m.code", "m.likelihood")
 
 
 # Events
