@@ -12,7 +12,7 @@ from ..functions.filters import compile_filter
 from ..functions.basemods import base_mods
 from ..functions.stats import fisher
 from ..operators import aggregates, intervals, merge, pileup, qc, synced
-from ..sources import bam, text
+from ..sources import bam, faidx, index, text
 from ..sources.shared import shared_path
 from ..streaming import windows
 from . import views as V
@@ -327,6 +327,23 @@ query("bam_round_trip", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ALIGNED
 query("round_trip_count", "SELECT count(*) AS n FROM {reads}")(lambda s, d: _bam(s, d).agg(F.count("*").alias("n")))
 
 
+@query("bam_region", f"SELECT qname, flag, tid, pos, CASE WHEN length(seq) > 0 THEN seq END AS seq FROM {{reads}} WHERE tid = 3 AND pos < 70000 AND pos + greatest(CASE WHEN flag & 4 <> 0 OR length(seq) = 0 THEN 0 ELSE {RLEN_SQL} END, 1) > 20000")
+def bam_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, indexed = shared_path(spark, "bam"), shared_path(spark, "bam-index")
+    bam.write_bam(_aligned(spark, sf_dir).sortWithinPartitions("tid", "pos"), path, _REFERENCES, "@HD\tVN:1.6\tSO:coordinate\n")
+    index.with_index(spark.read.parquet(path)).write.parquet(indexed)
+    return index.read_region(spark.read.parquet(indexed), 3, 20000, 70000).select("qname", "flag", "tid", "pos", "seq")
+
+
+@query("reference_fetch", "SELECT k AS doc_id, beg, \"end\", substr(seq, CAST(beg + 1 AS INT), CAST(\"end\" - beg AS INT)) AS seq FROM (SELECT doc_id AS k, seq, doc_id % 50 AS beg, doc_id % 50 + 20 + doc_id % 400 AS \"end\" FROM {reads}) WHERE beg < length(seq)")
+def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "fasta")
+    rows = V.reads(spark, sf_dir).select("doc_id", F.concat(F.lit("r"), "doc_id").alias("name"), "seq")
+    faidx.fasta_lines(rows, 60).write.text(path)
+    wanted = rows.selectExpr("doc_id", "name AS chrom", "doc_id % 50 AS beg", "doc_id % 50 + 20 + doc_id % 400 AS end")
+    return faidx.fetch(wanted, faidx.windows(text.read_fasta(spark, path), 128), 128).select("doc_id", "beg", "end", "seq")
+
+
 @query("sam_round_trip", "SELECT qname, flag, rname, pos, mapq, CASE WHEN length(seq) > 0 THEN cigar END AS cigar, mrname, mpos, tlen, CASE WHEN length(seq) > 0 THEN seq END AS seq, CAST(nm AS VARCHAR) AS nm, md FROM {reads}")
 def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "sam")
