@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bins, cigar, sequence, variant
+from ..functions import bins, cigar, confidence, edits, sequence, variant
 from ..functions.filters import compile_filter
 from ..functions.basemods import base_mods
 from ..functions.stats import fisher
@@ -377,6 +377,43 @@ def bed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_intervals(spark, path).select("chrom", "beg", "end", F.col("fields")[3].alias("payload"))
 
 
+# Changes to records, typed values, qualities from alignments
+
+query("tag_update", "SELECT doc_id, CAST(coalesce(nm + 1, 0) AS BIGINT) AS nm, CAST(1 + CASE WHEN md IS NULL THEN 0 ELSE 1 END + 1 AS INT) AS tags FROM {reads}")(
+    lambda s, d: _aligned(s, d).select("doc_id", edits.append_tag(edits.update_tag(F.col("tags"), "NM", "i", F.coalesce(edits.tag_value(F.col("tags"), "NM").cast("bigint") + 1, F.lit(0))), "XA", "Z", F.lit("x")).alias("t")).select("doc_id", edits.tag_value(F.col("t"), "NM").cast("bigint").alias("nm"), F.size("t").alias("tags"))
+)
+query("set_qname", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '*' ELSE concat('n', doc_id) END AS qname FROM {reads}")(lambda s, d: V.reads(s, d).select("doc_id", edits.set_qname(F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("n"), "doc_id")).otherwise(F.lit(""))).alias("qname")))
+query("pack_bases", "SELECT doc_id, concat(translate(seq, 'ACGT', '1248'), CASE WHEN length(seq) % 2 = 1 THEN '0' ELSE '' END) AS packed, seq FROM {reads}")(
+    lambda s, d: V.reads(s, d).select("doc_id", edits.pack_bases(F.col("seq")).alias("p"), F.length("seq").alias("n")).select("doc_id", F.hex("p").alias("packed"), edits.unpack_bases(F.col("p"), F.col("n")).alias("seq"))
+)
+_SPLIT = "CASE WHEN filters = '.' THEN [] ELSE string_split(filters, ';') END"
+query("filter_tests", f"SELECT filters, filters IN ('.', 'PASS') AS passes, list_contains({_SPLIT}, 's50') AS s50, CASE filters WHEN 'PASS' THEN 'x' WHEN '.' THEN 'x' ELSE concat(filters, ';x') END AS added, CASE filters WHEN 'q10' THEN 'PASS' WHEN 'q10;s50' THEN 's50' WHEN '.' THEN '' ELSE filters END AS removed, count(*) AS n FROM {{variants}} GROUP BY ALL")(
+    lambda s, d: V.variants(s, d).groupBy("filters").agg(F.count("*").alias("n")).withColumn("f", F.when(F.col("filters") != ".", F.split("filters", ";"))).select(
+        "filters", edits.has_filter(F.col("f"), "PASS").alias("passes"), edits.has_filter(F.col("f"), "s50").alias("s50"), F.array_join(edits.add_filter(F.col("f"), "x"), ";").alias("added"), F.array_join(edits.remove_filter(F.col("f"), "q10", True), ";").alias("removed"), "n"
+    )
+)
+query("info_values", "SELECT chrom, pos, CAST(len(gt) AS BIGINT) AS first_value, CAST(NULL AS BIGINT) AS second_value, sample = 1 AS db, CAST(sample AS BIGINT) AS depth FROM {variants}")(
+    lambda s, d: V.variants(s, d).withColumn("info", F.str_to_map(F.concat(F.lit("AC="), F.length("gt"), F.lit(",."), F.when(F.col("sample") == 1, F.lit(";DB")).otherwise(F.lit(""))), F.lit(";"), F.lit("="))).select(
+        "chrom", "pos", edits.info_values(F.col("info"), "AC")[0].alias("first_value"), edits.info_values(F.col("info"), "AC")[1].alias("second_value"), edits.info_flag(F.col("info"), "DB").alias("db"), edits.format_values(F.array(F.lit("GT"), F.lit("DP")), F.array(F.col("gt"), F.col("sample").cast("string")), "DP")[0].alias("depth")
+    )
+)
+#: Reads of one operation against a reference whose first 12 letters have C for A.
+_CAP = "SELECT doc_id, 20.0 * m - 4.343 * coalesce(list_sum(list_transform(range(0, m), lambda i: ln(2.0 * length(seq) / (i + 1)))), 0) AS t FROM (SELECT doc_id, seq, 12 - length(replace(left(seq, 12), 'A', '')) AS m FROM {reads} WHERE doc_id % 4 = 0 AND length(seq) >= 20)"
+query("cap_mapq", f"SELECT doc_id, CAST(CASE WHEN t > 40 THEN -1 ELSE floor(sqrt((40 - greatest(t, 0)) / 40) * 40 + 0.499) END AS INT) AS cap FROM ({_CAP})")(
+    lambda s, d: V.reads(s, d).filter("doc_id % 4 = 0 AND length(seq) >= 20").select("doc_id", confidence.cap_mapq(F.lit(0), F.col("cigar"), F.col("seq"), F.col("qual"), F.expr("concat(translate(left(seq, 12), 'A', 'C'), substr(seq, 13))")).alias("cap"))
+)
+
+
+@query("mate_qualities")
+def mate_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mates laid near each other, so that most of them overlap; the sums of their new qualities."""
+    reads = V.reads(spark, sf_dir).withColumn("mate", F.struct((F.col("doc_id") % 2 * 30).alias("pos"), "cigar", "seq", "qual"))
+    pairs = reads.groupBy("qname").agg(F.min_by("mate", "doc_id").alias("a"), F.max_by("mate", "doc_id").alias("b"), F.count("*").alias("n")).filter("n = 2")
+    made = pairs.select("qname", confidence.mate_qualities(F.col("qname"), F.col("a"), F.col("b")).alias("q"))
+    total = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda x, v: x + v)
+    return made.select("qname", total("q.left").alias("left_sum"), total("q.right").alias("right_sum"))
+
+
 # Streams over the events, run to the end of what is there
 
 
