@@ -12,7 +12,7 @@ from ..functions.filters import compile_filter
 from ..functions.basemods import base_mods
 from ..functions.stats import fisher
 from ..operators import aggregates, intervals, merge, pileup, qc, synced
-from ..sources import bam, faidx, index, text
+from ..sources import bam, bcf, faidx, index, text
 from ..sources.shared import shared_path
 from ..streaming import windows
 from . import views as V
@@ -370,6 +370,17 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_vcf(spark, path).select("chrom", "pos", "ref", F.element_at("alts", 1).alias("alt"), F.get("filters", F.lit(0)).alias("first_filter"), F.col("info")["GT"].alias("gt"))
 
 
+_VCF_HEADER = "\n".join(["##fileformat=VCFv4.2", "##FILTER=<ID=q10>", "##FILTER=<ID=s50>", *(f"##contig=<ID=s{i + 1}>" for i in range(10)), "##INFO=<ID=SN,Number=1,Type=Integer>", "##FORMAT=<ID=GT,Number=1,Type=String>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone"])
+
+
+@query("bcf_round_trip", "SELECT chrom, pos, ref, alt, CASE WHEN filters <> '.' THEN filters END AS filters, CAST(sample AS BIGINT) AS sample, gt FROM {variants}")
+def bcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "bcf")
+    rows = V.variants(spark, sf_dir).select("chrom", "pos", F.lit(None).cast("string").alias("id"), "ref", F.array("alt").alias("alts"), F.lit(50.0).alias("qual"), F.when(F.col("filters") != ".", F.split("filters", ";")).alias("filters"), F.create_map(F.lit("SN"), F.col("sample").cast("string")).alias("info"), F.array(F.lit("GT")).alias("format"), F.array(F.array("gt")).alias("samples"))
+    bcf.write_bcf(rows, path, _VCF_HEADER)
+    return bcf.read_bcf(spark.read.parquet(path)).select("chrom", "pos", "ref", F.col("alts")[0].alias("alt"), F.array_join("filters", ";").alias("filters"), edits.info_values(F.col("info"), "SN")[0].alias("sample"), F.col("samples")[0][0].alias("gt"))
+
+
 @query("bed_round_trip", 'SELECT chrom, beg, "end", payload FROM {regions}')
 def bed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "bed")
