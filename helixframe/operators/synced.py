@@ -125,15 +125,19 @@ def paired(inputs: DataFrame, which: str, pairings: list[str] = ()) -> DataFrame
     alone = counted.filter("_n = 1").select("chrom", "pos", F.lit(0).alias("row"), members.alias("members"))
     names = list(pairings)
 
-    def deal(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = [(list(a), g, k, list(w)) for a, g, k, w in sorted(zip(group["alleles"].map(tuple), group["again"], group["kinds"], group["inputs"], strict=True), key=lambda x: x[:2])]
-        records = [{"inputs": set(w), "alleles": set(a), "kinds": _kinds(k)} for a, _, k, w in ordered]
-        rows = sorted(sorted(row) for row in share_rows(records, names))
-        packed = [[{"which": w, "alleles": ordered[i][0]} for i in row for w in ordered[i][3]] for row in rows]
-        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "pos": group["pos"].iloc[0], "row": range(len(rows)), "members": packed})
-
-    shared = counted.filter("_n > 1").groupBy("chrom", "pos").applyInPandas(deal, alone.schema)
-    return alone.unionByName(shared)
+    @F.pandas_udf("array<array<int>>")
+    def deal(found: pd.Series) -> pd.Series:
+        out = []
+        for group in found:
+            records = [{"inputs": set(x["inputs"]), "alleles": set(x["alleles"]), "kinds": _kinds(x["kinds"])} for x in group]
+            out.append(sorted(sorted(row) for row in share_rows(records, names)))
+        return pd.Series(out, dtype=object)
+
+    # One row a place goes to Python, many places in a batch.
+    sets = F.array_sort(F.collect_list(F.struct("alleles", "again", "kinds", "inputs"))).alias("sets")
+    dealt = counted.filter("_n > 1").groupBy("chrom", "pos").agg(sets).select("chrom", "pos", "sets", F.posexplode(deal("sets")).alias("row", "own"))
+    joined = "flatten(transform(own, i -> transform(sets[i].inputs, w -> named_struct('which', w, 'alleles', sets[i].alleles)))) AS members"
+    return alone.unionByName(dealt.selectExpr("chrom", "pos", "row", joined))
 
 
 def _kinds(code: int) -> frozenset[str]:
