@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import layout, steps
 from .components import components
+from .idbits import IdBits
 from .scratch import Scratch, shuffle_width
 from .shingles import U, digests, mixed, shingle_sets
 from .worker import released
@@ -44,13 +45,13 @@ from .worker import released
 SKETCH_BITS, SKETCH_ROW = 20, 1 << 14
 #: Buckets of up to so many entries give all their pairs, larger ones join a cluster.
 SMALL = 12
-#: Sets in a block of a cluster at most, and bytes of their fingerprints (or one set, if larger).
-BLOCK_SETS, BLOCK_BYTES = 256, 1 << 19
+#: Sets in a block of a cluster, bytes of their fingerprints (or one set, if larger), and sets that a comparison takes of a block at once.
+BLOCK_SETS, BLOCK_BYTES, PIECE_SETS = 1024, 1 << 21, 256
 #: Fingerprints that a comparison of two blocks lays out at once.
 COLUMNS = 4096
 #: From this many segments on, only one in so many has deletion neighbourhoods.
 ALL_DELETIONS, SOME_DELETIONS = 48, 8
-#: Ids up to this number are broadcast as a filter of the texts; more are joined.
+#: Ids up to this number are broadcast as a filter of the texts; of more a table of bits is.
 BROADCAST_IDS = 400_000
 #: Cost of a segment without elements, which any set may share.
 EMPTY = 1e18
@@ -374,11 +375,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(own, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(released(released(run)), "a long, b long, linked boolean")
 
 
-def _with_sets(k: int, outline: bool):
-    """(id, set) or (id, n, counts) of each text."""
+def _with_sets(k: int, outline: bool, bits: IdBits | None = None):
+    """(id, set) or (id, n, counts) of each text, with ``bits`` only of those it may list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(bits.may(batch.column("doc_id"))))
             raw, ends = layout(batch.column("text"))
             for at, to in steps(ends):
                 sizes, sets = shingle_sets(raw, ends[at : to + 1], k)
@@ -393,6 +396,17 @@ def _with_sets(k: int, outline: bool):
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, outline: bool) -> DataFrame:
+    """(id, set) or (id, n, counts) of the texts whose doc_id is in ``ids`` (id); of a long list, of a few more.
+
+    No text passes a shuffle: either the ids go to the texts, or a table of bits.
+    """
+    n = ids.count()
+    near = docs.join(F.broadcast(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi") if n <= BROADCAST_IDS else docs
+    run = _with_sets(k, outline, None if n <= BROADCAST_IDS else IdBits(ids, n))
+    return near.mapInArrow(released(run), "id long, n long, counts binary" if outline else "id long, set binary")
+
+
 def _distinct_sets(docs: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(sizes and digests of all rows; doc_id, n_shingles, rep, n_copies of those with a set and an id; sketch of fingerprint counts)."""
 
@@ -464,6 +478,7 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
 
     texts = docs.filter("doc_id is not null")
     raw = scratch.table(candidate_pairs(texts, percent, k, sketch).groupBy("a", "b", "kind").agg(F.sum("n").alias("n")), "raw")
+    scratch.release()  # the index's shuffle files, the largest of all
     pairs = scratch.table(of_reps(raw), "pairs")
     edges = pairs.filter(F.col("kind") == CLUSTER)
     clusters = scratch.table(clustered(edges, scratch), "clusters")
@@ -473,12 +488,13 @@ def join_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     plain = _apart(pairs.filter(F.col("kind") == CANDIDATE), clusters.select(F.col("id").alias("node"), F.col("cluster").alias("component")))
     asked = scratch.table(plain.unionByName(leads).distinct(), "asked")
     nodes = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    outlines = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-1")).mapInArrow(released(_with_sets(k, True)), "id long, n long, counts binary"), "outlines")
+    outlines = scratch.table(_sets_of(texts, scratch.table(nodes, "nodes-1"), k, True), "outlines")
     may = scratch.table(once(likely(asked, once(outlines), percent).filter("may").select("a", "b")), "likely")
     nodes = may.select(F.explode(F.array("a", "b")).alias("id")).unionByName(clusters.select("id")).distinct()
-    sets = scratch.table(chosen_texts(texts, scratch.table(nodes, "nodes-2")).mapInArrow(released(_with_sets(k, False)), "id long, set binary"), "sets")
+    sets = scratch.table(_sets_of(texts, scratch.table(nodes, "nodes-2"), k, False), "sets")
     sets = once(sets)
     links = scratch.table(verified(may, sets, percent).filter("linked").select("a", "b"), "links-1")
+    scratch.release()
     if not clusters.isEmpty():
         links = links.unionByName(scratch.table(_cluster_links(clusters.join(heads, "cluster"), links, sets, percent, scratch), "links-2"))
     found = scratch.table(components(links, scratch, "last"), "parts")
@@ -508,10 +524,15 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 class Block:
     """Sets of a cluster: ids, sizes, the sets end to end, and the component of each so far."""
 
-    def __init__(self, ids: bytes, sizes: bytes, sets: bytes, parts: bytes):
-        self.ids, self.sizes, self.parts = (np.frombuffer(x, np.int64) for x in (ids, sizes, parts))
-        self.sets = np.frombuffer(sets, U)
-        self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sets: np.ndarray, parts: np.ndarray):
+        self.ids, self.sizes, self.sets, self.parts = ids, sizes, sets, parts
+        self.owner = np.repeat(np.arange(len(ids)), sizes)
+
+    def pieces(self) -> list[Block]:
+        """The same sets, PIECE_SETS at a time."""
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))
+        cuts = [slice(a, a + PIECE_SETS) for a in range(0, len(self.ids), PIECE_SETS)]
+        return [Block(self.ids[c], self.sizes[c], self.sets[ends[c.start] : ends[min(c.stop, len(self.ids))]], self.parts[c]) for c in cuts]
 
 
 def common(x: Block, y: Block) -> np.ndarray:
@@ -619,8 +640,9 @@ def _cluster_links(members: DataFrame, links: DataFrame, sets: DataFrame, percen
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one, other = (Block(*(batch.column(f"{side}_{c}")[i].as_buffer() for c in names)) for side in ("x", "y"))
-                found = forest(one, other, percent)
+                one, other = (Block(*(np.frombuffer(batch.column(f"{side}_{c}")[i].as_buffer(), U if c == "sets" else np.int64) for c in names)).pieces() for side in ("x", "y"))
+                same = batch.column("x")[i].as_py() == batch.column("y")[i].as_py()
+                found = [link for j, piece in enumerate(one) for mate in (other[j:] if same else other) for link in forest(piece, mate, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return met.mapInArrow(released(released(compared)), "a long, b long")

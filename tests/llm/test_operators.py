@@ -441,3 +441,79 @@ def test_pipeline_odd_and_empty(spark, odd):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "source", "n_tokens", "ids"] and docs.count() <= 2 * len(ODD)
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """name -> physical plan of every scratch table that is written."""
+    found, table = {}, Scratch.table
+
+    def noted(self, df, name, *more):
+        found[name] = df._jdf.queryExecution().executedPlan().toString()
+        return table(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    return found
+
+
+def near_copies(n=150, width=90):
+    """Edits of one text, some in pairs of their own, and unlike texts that share a passage with them."""
+    rng = np.random.default_rng(9)
+    base, rows = [f"b{i}" for i in range(width)], []
+    for i in range(n):
+        own = base[:]
+        for at in rng.choice(width, int(rng.integers(1, 7)), replace=False):
+            own[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((500 + i, " ".join(own[:-1])))
+        if i % 5 == 0:
+            rows.append((1000 + i, " ".join(base[:40] + [f"u{i}_{j}" for j in range(40)])))
+    return rows
+
+
+def reached(rows):
+    """brute_components of rows with ids, each pair looked at once."""
+    sets = {d: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for d, text in rows for w in [text.split()]}
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: new if x == old else x for d, x in label.items()}
+    return {d: (len(s), label[d]) for d, s in sets.items()}
+
+
+def test_jaccard_shuffles_no_texts(spark, monkeypatch, plans):
+    """Beyond the ids that are broadcast a table of bits goes to the texts."""
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    rows = near_copies() + [(2000 + i, f"lone text {i}") for i in range(300)] + [(None, "lone text 3"), (0, TEXT)]
+    want = {d: c for d, (_, c) in reached([r for r in rows if r[0] is not None and r[1] != TEXT]).items()}
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    assert all("hashpartitioning" not in plans[name] for name in ("outlines", "sets"))
+
+
+def test_jaccard_pieces_of_blocks(spark, monkeypatch):
+    """Large blocks are compared piece by piece, and a block with itself too."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 40)
+    monkeypatch.setattr(jaccard, "PIECE_SETS", 7)
+    rows = near_copies()
+    want = reached(rows)
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_id_bits(spark):
+    """Rows without listed ids, exact whether the list is broadcast or told by bits; few others meet the list."""
+    from helixframe.llm import idbits
+
+    docs = spark.range(20_000).select((F.col("id") * 7 - 70_000).alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    ids = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("id"))
+    want = sorted(r["doc_id"] for r in docs.filter("doc_id % 5 <> 0").collect())
+    for broadcast in (0, 10**6):
+        got = [r["doc_id"] for r in idbits.without(docs, ids, broadcast).collect()]
+        assert got.count(None) == 1 and sorted(x for x in got if x is not None) == want
+    bits = idbits.IdBits(ids, ids.count())
+    assert bits.may(pa.array([r["id"] for r in ids.collect()])).all() and bits.may(pa.array(want)).mean() < 0.05
