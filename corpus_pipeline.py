@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe, jaccard, langid, mixing, quality
+from helixframe.llm.idbits import without
 from helixframe.llm.scratch import Scratch
 
 #: SQL can't express the trained stages.
@@ -36,9 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without a doc_id stay; of rows that repeat a doc_id the smallest stays,
     compared column by column.
     """
+    scratch = Scratch(spark, "duplicates")
     found = jaccard.join_components(docs.select("doc_id", "text"))
-    lost = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    lost = scratch.table(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(), "lost")
+    kept = without(docs, lost, jaccard.BROADCAST_IDS)
     named = kept.filter("doc_id is not null")
     if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
         others = [c for c in docs.columns if c != "doc_id"]
