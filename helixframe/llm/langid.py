@@ -28,8 +28,8 @@ EPOCHS, BATCH, RATE = 10, 64, 0.02
 UNKNOWN = "und"
 #: Windows that prediction takes together: their responses fit a core's cache.
 TOGETHER = 64
-#: Labelled texts that set the least score of a kept text, the share of the rightly told ones whose score it is taken from, and what part of that score.
-CALIBRATION, BELOW, MARGIN = 4_000, 0.001, 0.8
+#: The share of the rightly told texts below the score that the least score of a kept text is taken from, what part of that score, and the steps in which scores are counted.
+BELOW, MARGIN, GRADES = 0.001, 0.8, 10_000
 
 #: Letters lower-cased; digits, marks and controls are one blank.
 FOLD = np.full(256, 32, np.uint8)
@@ -218,11 +218,19 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def least_score(docs: DataFrame, network: Network | None) -> float:
-    """MARGIN of the score that all but BELOW of the labelled texts reach whose label the network finds; 0 if there are none."""
-    labelled = known(docs)
-    every = max(1, labelled.count() // CALIBRATION)
-    told = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).select("lang", identify(network).alias("told"))
-    return MARGIN * (told.filter("told.lang_pred = lang").agg(F.percentile_approx("told.score", BELOW, 100_000)).first()[0] or 0.0)
+    """MARGIN of the score that all but BELOW of the labelled texts reach whose label the network finds; 0 if there are none.
+
+    All labelled rows count, by scores rounded down to one of GRADES steps.
+    """
+    told = known(docs).select("lang", identify(network).alias("told"))
+    grade = F.when(F.col("told.lang_pred") == F.col("lang"), F.floor(F.col("told.score") * GRADES))
+    counts = sorted((r["grade"], r["count"]) for r in told.groupBy(grade.alias("grade")).count().collect() if r["grade"] is not None)  # GRADES + 1 rows at most
+    rest = BELOW * sum(n for _, n in counts)
+    for found, n in counts:
+        rest -= n
+        if rest < 0:
+            return MARGIN * found / GRADES
+    return 0.0
 
 
 def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:

@@ -517,3 +517,14 @@ def test_id_bits(spark):
         assert got.count(None) == 1 and sorted(x for x in got if x is not None) == want
     bits = idbits.IdBits(ids, ids.count())
     assert bits.may(pa.array([r["id"] for r in ids.collect()])).all() and bits.may(pa.array(want)).mean() < 0.05
+
+
+def test_language_threshold_of_all_rows(spark, monkeypatch):
+    """Low scores of a few labelled rows count, whatever a sample of them would have held."""
+    low = "doc_id % 500 = 1 and pmod(xxhash64(doc_id, 1), 5) <> 0"
+    monkeypatch.setattr(langid, "identify", lambda network: F.struct(F.lit("en").alias("lang_pred"), F.when(F.expr(low), 0.2).otherwise(0.9).alias("score")))
+    docs = spark.range(28_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    right = langid.known(docs).filter("lang = 'en'")
+    assert right.filter(low).count() > 0.001 * right.count()
+    assert langid.least_score(docs, None) == pytest.approx(0.8 * 0.2, abs=1e-3)
+    assert langid.least_score(docs.limit(0), None) == 0.0
