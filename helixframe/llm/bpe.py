@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import layout, steps
 from .pieces import PieceTable
-from .worker import bound_batches, released
+from .worker import bound_batches, left_by, released
 
 #: Texts are encoded together up to so many bytes.
 STEP_BYTES = 1 << 20
@@ -216,7 +216,7 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_codecs: dict[tuple[str, str], ByteBPE] = {}
+_codecs: dict[tuple[str, str], ByteBPE] = left_by(__name__)
 
 
 def codec(path: str, pattern: str) -> ByteBPE:

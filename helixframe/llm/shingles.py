@@ -33,7 +33,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n <= 2 * STEP_BYTES:
-            self.up, self.down = self.made(2 * STEP_BYTES)
+            self.up, self.down = self.made(STEP_BYTES if n <= STEP_BYTES else 2 * STEP_BYTES)
         return (self.up, self.down) if n <= len(self.up) else self.made(n)
 
     @staticmethod

@@ -10,11 +10,23 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Bytes of rows that Spark sends a worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: glibc's numbers of the two settings, and the size from which arrays go back to the system when they are freed.
 MMAP_THRESHOLD, TRIM_THRESHOLD, MMAP_BYTES = -3, -1, 2 << 20
 
 _libc: ctypes.CDLL | None = None
+_kept: dict[str, dict] = {}
+
+
+def left_by(module: str) -> dict:
+    """What a module's tasks leave for its next ones; it is empty again once a task of another module has run here."""
+    return _kept.setdefault(module, {})
+
+
+def _forget(module: str) -> None:
+    for own, held in _kept.items():
+        if own != module:
+            held.clear()
 
 
 def _settle() -> None:
@@ -34,11 +46,13 @@ def _trim() -> None:
 
 def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
     """``run`` over the batches of a task; what it freed goes back to the system at the task's end."""
+    module = run.__module__
 
     @functools.wraps(run)
     def wrapped(batches: Iterable) -> Iterator:
         # Functions of this module alone: Spark sends ``wrapped`` with what it names, and a library can't be sent.
         _settle()
+        _forget(module)
         try:
             yield from run(batches)
         finally:

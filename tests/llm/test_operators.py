@@ -528,3 +528,20 @@ def test_language_threshold_of_all_rows(spark, monkeypatch):
     assert right.filter(low).count() > 0.001 * right.count()
     assert langid.least_score(docs, None) == pytest.approx(0.8 * 0.2, abs=1e-3)
     assert langid.least_score(docs.limit(0), None) == 0.0
+
+
+def test_worker_forgets_other_modules():
+    """What an operator's tasks leave in a worker is gone once a task of another operator has run there."""
+    from helixframe.llm import worker
+
+    def ours(batches):
+        yield from batches
+
+    def theirs(batches):
+        yield from batches
+
+    theirs.__module__ = "elsewhere"
+    held = worker.left_by(__name__)
+    held["big"] = 1
+    assert list(worker.released(worker.released(ours))([1])) == [1] and held
+    assert list(worker.released(theirs)([1])) == [1] and not held
