@@ -489,7 +489,11 @@ def test_jaccard_shuffles_no_texts(spark, monkeypatch, plans):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rows = near_copies() + [(2000 + i, f"lone text {i}") for i in range(300)] + [(None, "lone text 3"), (0, TEXT)]
     want = {d: c for d, (_, c) in reached([r for r in rows if r[0] is not None and r[1] != TEXT]).items()}
-    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for lists too long to broadcast
+    try:
+        got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(got) == len(rows)
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
     assert all("hashpartitioning" not in plans[name] for name in ("outlines", "sets"))
