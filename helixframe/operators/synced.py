@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from itertools import accumulate, groupby, pairwise
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,43 +63,107 @@ _WORTH = {
 }
 
 
-def _worth(pairings: list[str]) -> Callable[[frozenset[str], frozenset[str]], int]:
+def _worth(pairings: Iterable[str]) -> Callable[[frozenset[str], frozenset[str]], int]:
     table: dict[tuple[str, str], int] = {}
     for name in pairings:
         table |= _WORTH[name]
     least = 1 if "any" in pairings else 0
-    return lambda a, b: max((table.get((min(x, y), max(x, y)), least) for x in a for y in b), default=least)
+
+    @cache
+    def worth(a: frozenset[str], b: frozenset[str]) -> int:
+        return max((table.get((min(x, y), max(x, y)), least) for x in a for y in b), default=least)
+
+    return worth
+
+
+class Like(NamedTuple):
+    """``count`` records of a place, next to each other in its order, that nothing tells apart."""
+
+    inputs: frozenset
+    kinds: frozenset[str]
+    alleles: frozenset[str | None]
+    count: int = 1
+
+
+def deal(place: list[Like], worth: Callable[[frozenset[str], frozenset[str]], int]) -> list[tuple[int, list[int]]]:
+    """(number of rows, indices of ``place`` that each of them holds a record of), in the order of the rows' first records.
+
+    The row of most inputs takes in the record that suits it best, as long as
+    they have no input in common: one that shares an allele, else by the worst
+    pair of kinds between both, then by the number of inputs.  A row that
+    nothing suits is done.  Ties go to the earlier record.
+
+    Only the row that grows is made of several records, so what it takes next
+    depends on the kinds of records that are left.  Rows are therefore made as
+    many at a time as all records of one sort allow: steps grow with the sorts,
+    not with the records.  Records without inputs suit their own sort and must
+    have a count of 1.
+    """
+    left, taken, made = [x.count for x in place], [0] * len(place), []
+    starts = list(accumulate(left, initial=0))
+    by_inputs: dict[frozenset, list[int]] = {}
+    for k, x in enumerate(place):
+        by_inputs.setdefault(x.inputs, []).append(k)
+    for top in sorted(range(len(place)), key=lambda k: -len(place[k].inputs)):
+        while left[top]:
+            row, inputs = [top], place[top].inputs
+            while True:
+                best, found = (0, 0), -1
+                for others, members in by_inputs.items():
+                    if not inputs.isdisjoint(others):
+                        continue
+                    for k in members:
+                        if left[k] and k not in row:
+                            score = _score(place, row, k, worth)
+                            if score > best or score == best and k < found:
+                                best, found = score, k
+                if best[0] == 0:
+                    break
+                row.append(found)
+                inputs = inputs | place[found].inputs
+            count = min(left[k] for k in row)
+            made.append((min(starts[k] + taken[k] for k in row), count, sorted(row)))
+            for k in row:
+                left[k] -= count
+                taken[k] += count
+    return [(count, row) for _, count, row in sorted(made)]
+
+
+def _score(place: list[Like], row: list[int], k: int, worth: Callable[[frozenset[str], frozenset[str]], int]) -> tuple[int, int]:
+    b = place[k]
+    if any(not place[i].kinds.isdisjoint(b.kinds) and not place[i].alleles.isdisjoint(b.alleles) for i in row):
+        return 4, 0
+    return min(worth(place[i].kinds, b.kinds) for i in row), len(b.inputs)
 
 
 def share_rows(records: list[dict], pairings: list[str]) -> list[list[int]]:
-    """Indices of the records of one place, dealt to rows.
+    """Indices of the records of one place (``inputs``, ``kinds``, ``alleles``), dealt to rows, see ``deal``."""
+    return [row for _, row in deal([Like(*(frozenset(x[n]) for n in ("inputs", "kinds", "alleles"))) for x in records], _worth(pairings))]
+
 
-    A record has ``inputs`` (a set), ``kinds`` and ``alleles``.  The row of most
-    inputs takes in the row that suits it best, as long as they have no input in
-    common: one that shares an allele, else by the worst pair of kinds between
-    both, then by the number of inputs.  A row that nothing suits is done.  Ties
-    go to the earlier record.
+def likes(counts: Iterable[tuple[tuple, object, int | None, int]]) -> tuple[list[Like], list[list[int]]]:
+    """The sorts of records of one place, and for each the indices of ``counts`` that it comes from.
+
+    ``counts`` are (alleles, which, kinds, records), equal alleles next to each
+    other.  The records of an input with the same alleles lie one above the
+    other, by kinds; records of one level are one.
     """
-    worth = _worth(pairings)
-
-    def score(a: list[int], b: list[int]) -> tuple[int, int]:
-        pairs = [(records[i], records[j]) for i in a for j in b]
-        if any(x["kinds"] & y["kinds"] and x["alleles"] & y["alleles"] for x, y in pairs):
-            return 4, 0
-        return min(worth(x["kinds"], y["kinds"]) for x, y in pairs), sum(len(records[i]["inputs"]) for i in a + b)
-
-    rows, done = [[i] for i in range(len(records))], []
-    while rows:
-        inputs = [set().union(*(records[i]["inputs"] for i in row)) for row in rows]
-        top = max(range(len(rows)), key=lambda k: (len(inputs[k]), -k))
-        scores = [(score(rows[top], row) if k != top and not inputs[top] & inputs[k] else (0, 0), -k) for k, row in enumerate(rows)]
-        (worst, _), place = max(scores)
-        if worst == 0:
-            done.append(rows.pop(top))
-            continue
-        low, high = sorted((top, -place))
-        rows[low] = rows[low] + rows.pop(high)
-    return done
+    place, sources = [], []
+    for alleles, group in groupby(enumerate(counts), key=lambda x: x[1][0]):
+        stacks: dict[object, list[tuple[int, int | None, int]]] = {}
+        for i, (_, which, kinds, n) in sorted(group, key=lambda x: (x[1][2] is not None, x[1][2])):
+            stack = stacks.setdefault(which, [])
+            stack.append(((stack[-1][0] if stack else 0) + n, kinds, i))
+        low = 0
+        for high in sorted({end for stack in stacks.values() for end, _, _ in stack}):
+            level = [(which, next(x for x in stack if x[0] > low)) for which, stack in stacks.items() if stack[-1][0] > low]
+            inputs = frozenset(which for which, _ in level if which is not None)
+            kinds = max((x[1] for _, x in level if x[1] is not None), default=None)
+            whole = [Like(inputs, _kinds(kinds), frozenset(alleles), high - low)] if inputs else [Like(inputs, _kinds(kinds), frozenset(alleles))] * (high - low)
+            place += whole
+            sources += [sorted(x[2] for which, x in level if which is not None)] * len(whole)
+            low = high
+    return place, sources
 
 
 def paired(inputs: DataFrame, which: str, pairings: list[str] = ()) -> DataFrame:
@@ -104,42 +171,66 @@ def paired(inputs: DataFrame, which: str, pairings: list[str] = ()) -> DataFrame
 
     Records of equal alleles, in any order and case, share a row; the second
     record of an input with the same alleles starts another one.  ``pairings``
-    (snps, indels, snp+ref, indel+ref, any) let more share it, see
-    ``share_rows``.  members are (which, alleles), rows are numbered from 0 in
-    the order of their first alleles.  Places where all alleles are equal never
-    leave the JVM; elsewhere one row for each set of alleles goes to Python.
+    (snps, indels, snp+ref, indel+ref, any) let more share it, see ``deal``.
+    members are (which, alleles), rows are numbered from 0 in the order of
+    their first alleles.  With pairings, equal records of an input are counted
+    before a place goes to Python, and rows come back with how often each is
+    made: a place's size is that of its alleles, however many records it has.
     """
     none = F.array().cast("array<string>")
     alts = F.array_sort(F.coalesce(F.transform("alts", F.upper), none))
     alleles = F.when(F.size(alts) == 0, F.array(F.concat(F.upper("ref"), F.lit(">.")))).otherwise(F.transform(alts, lambda a: F.concat(F.upper("ref"), F.lit(">"), a)))
     kinds = variant.record_types(F.col("ref"), F.coalesce("alts", none))
+    if pairings:
+        equal = inputs.groupBy("chrom", "pos", "ref", "alts", F.col(which).alias("which")).agg(F.count("*").alias("n"))
+        counts = equal.select("chrom", "pos", F.struct(alleles.alias("alleles"), "which", kinds.alias("kinds"), "n").alias("c"))
+        return _dealt(counts.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list("c")).alias("counts")), list(pairings))
     cut = inputs.select("chrom", "pos", F.col(which).alias("which"), alleles.alias("alleles"), kinds.alias("kinds"))
     again = F.row_number().over(Window.partitionBy("chrom", "pos", "which", "alleles").orderBy("kinds")) - 1
     sets = cut.withColumn("again", again).groupBy("chrom", "pos", "alleles", "again").agg(F.max("kinds").alias("kinds"), F.array_sort(F.collect_set("which")).alias("inputs"))
-    place = Window.partitionBy("chrom", "pos")
     members = F.transform("inputs", lambda w: F.struct(w.alias("which"), F.col("alleles").alias("alleles")))
-    if not pairings:
-        row = F.row_number().over(place.orderBy("alleles", "again")) - 1
-        return sets.select("chrom", "pos", row.alias("row"), members.alias("members"))
-    counted = sets.withColumn("_n", F.count("*").over(place))
-    alone = counted.filter("_n = 1").select("chrom", "pos", F.lit(0).alias("row"), members.alias("members"))
-    names = list(pairings)
-
-    @F.pandas_udf("array<array<int>>")
-    def deal(found: pd.Series) -> pd.Series:
-        out = []
-        for group in found:
-            records = [{"inputs": set(x["inputs"]), "alleles": set(x["alleles"]), "kinds": _kinds(x["kinds"])} for x in group]
-            out.append(sorted(sorted(row) for row in share_rows(records, names)))
-        return pd.Series(out, dtype=object)
-
-    # One row a place goes to Python, many places in a batch.
-    sets = F.array_sort(F.collect_list(F.struct("alleles", "again", "kinds", "inputs"))).alias("sets")
-    dealt = counted.filter("_n > 1").groupBy("chrom", "pos").agg(sets).select("chrom", "pos", "sets", F.posexplode(deal("sets")).alias("row", "own"))
-    joined = "flatten(transform(own, i -> transform(sets[i].inputs, w -> named_struct('which', w, 'alleles', sets[i].alleles)))) AS members"
-    return alone.unionByName(dealt.selectExpr("chrom", "pos", "row", joined))
-
-
-def _kinds(code: int) -> frozenset[str]:
+    row = F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("alleles", "again")) - 1
+    return sets.select("chrom", "pos", row.alias("row"), members.alias("members"))
+
+
+def _dealt(places: DataFrame, pairings: list[str]) -> DataFrame:
+    """chrom, pos, row, members of (chrom, pos, counts)."""
+
+    @F.arrow_udf("array<struct<first: int, n: int, own: array<int>>>")
+    def rows(found: pa.Array) -> pa.Array:
+        out, worth = [], _worth(pairings)
+        # Some places at a time: Python's lists are many times the size of a batch.
+        for at in range(0, len(found), 100):
+            out.append(pa.array([_rows(counts, worth) for counts in _counts(found.slice(at, 100))], kind))
+        return pa.chunked_array(out, kind).combine_chunks()
+
+    kind = pa.list_(pa.struct({"first": pa.int32(), "n": pa.int32(), "own": pa.list_(pa.int32())}))
+    made = places.select("chrom", "pos", "counts", F.explode(rows("counts")).alias("r"))
+    members = made.selectExpr("chrom", "pos", "r.first", "r.n", "transform(r.own, i -> named_struct('which', counts[i].which, 'alleles', counts[i].alleles)) AS members")
+    return members.selectExpr("chrom", "pos", "explode(sequence(first, first + n - 1)) AS row", "members")
+
+
+def _counts(found: pa.Array) -> Iterator[list[tuple[tuple, object, int | None, int]]]:
+    """What ``likes`` takes, for each place."""
+    flat = found.flatten()
+    columns = [flat.field(n) for n in ("alleles", "which", "kinds", "n")]
+    every = [(tuple(a), w, k, n) for a, w, k, n in zip(*(c.to_pylist() for c in columns), strict=True)]
+    ends = list(accumulate(found.value_lengths().to_pylist(), initial=0))
+    return (every[a:b] for a, b in pairwise(ends))
+
+
+def _rows(counts: list[tuple[tuple, object, int | None, int]], worth: Callable[[frozenset[str], frozenset[str]], int]) -> list[dict]:
+    place, sources = likes(counts)
+    out, first = [], 0
+    for n, own in deal(place, worth):
+        out.append({"first": first, "n": n, "own": [i for k in own for i in sources[k]]})
+        first += n
+    return out
+
+
+def _kinds(code: int | None) -> frozenset[str]:
+    """Nothing suits records of unknown kind."""
+    if code is None:
+        return frozenset()
     bits = (("snp", variant.SNP | variant.MNP), ("indel", variant.INDEL), ("other", variant.OTHER))
     return frozenset(name for name, bit in bits if code & bit) or frozenset(["ref"] if code == 0 else [])

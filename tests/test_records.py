@@ -125,6 +125,55 @@ def test_paired_keeps_every_record(spark):
         assert len([x for x in out if (x.chrom, x.pos) == ("c", 1)]) == (3 if not pairings else 2)
 
 
+def one_by_one(records, worth):
+    """Rows by taking in one record after the other."""
+    def score(a, b):
+        pairs = [(records[i], records[j]) for i in a for j in b]
+        if any(x["kinds"] & y["kinds"] and x["alleles"] & y["alleles"] for x, y in pairs):
+            return 4, 0
+        return min(worth(x["kinds"], y["kinds"]) for x, y in pairs), sum(len(records[i]["inputs"]) for i in a + b)
+
+    rows, done = [[i] for i in range(len(records))], []
+    while rows:
+        inputs = [set().union(*(records[i]["inputs"] for i in row)) for row in rows]
+        top = max(range(len(rows)), key=lambda k: (len(inputs[k]), -k))
+        (worst, _), place = max((score(rows[top], row) if k != top and not inputs[top] & inputs[k] else (0, 0), -k) for k, row in enumerate(rows))
+        if worst == 0:
+            done.append(rows.pop(top))
+            continue
+        low, high = sorted((top, -place))
+        rows[low] = rows[low] + rows.pop(high)
+    return sorted(map(sorted, done))
+
+
+def test_rows_by_sorts_of_records():
+    rng = random.Random(3)
+    for _ in range(400):
+        pairings, stacks = rng.sample(list(synced._WORTH), 2), {}
+        for _ in range(rng.randint(1, 9)):
+            stacks.setdefault(rng.choice("abcd"), {}).setdefault(rng.randint(0, 3), []).extend([rng.choice([0, 1, 4, 8, 9])] * rng.randint(1, 4))
+        counts = [((a,), w, k, kinds.count(k)) for a in sorted(stacks) for w, kinds in sorted(stacks[a].items()) for k in sorted(set(kinds))]
+        levels = []
+        for a in sorted(stacks):
+            for i in range(max(map(len, stacks[a].values()))):
+                here = {w: sorted(kinds)[i] for w, kinds in stacks[a].items() if len(kinds) > i}
+                levels.append({"inputs": set(here), "kinds": synced._kinds(max(here.values())), "alleles": {a}})
+        worth, got = synced._worth(pairings), []
+        for row in synced._rows(counts, worth):
+            assert row["first"] == len(got)
+            got += [sorted((counts[i][1], counts[i][0][0]) for i in row["own"])] * row["n"]
+        assert got == [sorted((w, *levels[i]["alleles"]) for i in row for w in levels[i]["inputs"]) for row in one_by_one(levels, worth)]
+
+
+def test_many_records_of_one_place(spark):
+    """The work is that of the alleles; it grew with the square of the records."""
+    n = 50_000
+    rows = spark.range(2 * n).selectExpr("'c' AS chrom", "1L AS pos", "'A' AS ref", "array(IF(id % 2 = 0, 'C', 'G')) AS alts", "CAST(id % 2 AS INT) AS f")
+    out = synced.paired(rows, "f", ["snps"])
+    assert [tuple(x) for x in out.selectExpr("count(*)", "min(row)", "max(row)", "count(DISTINCT row)", "min(size(members))").collect()] == [(n, 0, n - 1, n, 2)]
+    assert out.first().members == [(0, ["A>C"]), (1, ["A>G"])]
+
+
 def test_base_modifications():
     assert basemods.decode_mods("ACGCC", False, "C+m,1,0;", [7, 9]) == [(3, "C", "+", "m", 7), (4, "C", "+", "m", 9)]
     assert basemods.decode_mods("GGAG", True, "C+mh?,0,1", [1, 2, 3, 4]) == [(0, "C", "+", "h", 4), (0, "C", "+", "m", 3), (3, "C", "+", "h", 2), (3, "C", "+", "m", 1)]
