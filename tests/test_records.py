@@ -75,6 +75,20 @@ def test_depth_and_islands_cross_blocks(spark):
     assert {tuple(x) for x in intervals.compact(df.filter("chrom = 'b'"), touching=False).collect()} == {("b", 0, 3_000_000), ("b", 3_000_000, 3_000_001)}
 
 
+def test_islands_of_equal_regions(spark):
+    """Regions that come several times change nothing, whatever their order."""
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), b, b + rng.randint(1, 6)) for b in (rng.randint(0, 300) for _ in range(60))]
+    want = []
+    for c, b, e in sorted(rows):
+        if want and want[-1][0] == c and b <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([c, b, e])
+    df = spark.createDataFrame(rng.sample(rows * 5, 300), "chrom string, beg long, end long")
+    assert sorted(map(list, intervals.compact(df).collect())) == want
+
+
 @pytest.mark.parametrize("how", ["left_semi", "left_anti"])
 def test_semi_and_anti_overlaps(spark, how):
     rng = random.Random(7)
