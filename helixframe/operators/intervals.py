@@ -22,11 +22,13 @@ def binned(df: DataFrame, shift: int = BIN_SHIFT) -> DataFrame:
     return df.filter("end > beg").withColumn("_bin", F.explode(F.sequence(F.shiftright("beg", shift), F.shiftright(F.col("end") - 1, shift))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", shift: int = BIN_SHIFT) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", shift: int = BIN_SHIFT, repeated: bool = False) -> DataFrame:
     """Pairs (or left rows) of half-open intervals (chrom, beg, end) that overlap.
 
     how: inner gives the columns of ``left`` and r_<name> of ``right``; left_semi
-    and left_anti give left rows, each once.
+    and left_anti give left rows, each once.  Where ``repeated``, many left rows
+    have equal intervals: the distinct ones are joined by bin, the rows by their
+    intervals, so that few bins don't gather all rows.
     """
     r = binned(right, shift).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], F.col("_bin").alias("_rbin"))
     if how == "inner":
@@ -34,13 +36,18 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", shift: i
         owner = F.greatest(F.shiftright("beg", shift), F.shiftright("r_beg", shift))
         on = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin")) & (F.col("beg") < F.col("r_end")) & (F.col("r_beg") < F.col("end")) & (F.col("_bin") == owner)
         return left_bins.join(r, on).drop("_bin", "_rbin")
+    if repeated:
+        return _by_hits(left, right, how, shift)
     # Most left rows lie within one bin and need one join alone; of the others the distinct intervals that hit decide.
     whole = (F.col("end") <= F.col("beg")) | (F.shiftright("beg", shift) == F.shiftright(F.col("end") - 1, shift))
     on = (F.col("chrom") == F.col("r_chrom")) & (F.shiftright("beg", shift) == F.col("_rbin")) & (F.col("beg") < F.col("r_end")) & (F.col("r_beg") < F.col("end")) & (F.col("end") > F.col("beg"))
     narrow = left.filter(F.coalesce(whole, F.lit(True))).join(r.select("r_chrom", "r_beg", "r_end", "_rbin"), on, how)
-    wide = left.filter(~whole)
-    hits = overlap_join(wide.select("chrom", "beg", "end").distinct(), right.select("chrom", "beg", "end"), "inner", shift).select("chrom", "beg", "end").distinct()
-    return narrow.unionByName(wide.join(hits, ["chrom", "beg", "end"], how).select(*left.columns))
+    return narrow.unionByName(_by_hits(left.filter(~whole), right, how, shift))
+
+
+def _by_hits(left: DataFrame, right: DataFrame, how: str, shift: int) -> DataFrame:
+    hits = overlap_join(left.select("chrom", "beg", "end").distinct(), right.select("chrom", "beg", "end"), "inner", shift).select("chrom", "beg", "end").distinct()
+    return left.join(hits, ["chrom", "beg", "end"], how).select(*left.columns)
 
 
 def compact(regions: DataFrame, touching: bool = True) -> DataFrame:

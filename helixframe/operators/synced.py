@@ -40,7 +40,7 @@ def in_regions(records: DataFrame, regions: DataFrame, mode: int = RECORD, exclu
     spans = records.withColumns({"beg": first * 2, "end": last * 2 + 1})
     spans = spans.withColumns({"beg": F.least("beg", "end"), "end": F.greatest("beg", "end")}) if mode == VARIANT else spans
     doubled = intervals.compact(regions, touching=False).select("chrom", (F.col("beg") * 2).alias("beg"), (F.col("end") * 2 - 1).alias("end"))
-    return intervals.overlap_join(spans, doubled, "left_anti" if exclude else "left_semi").select(*records.columns)
+    return intervals.overlap_join(spans, doubled, "left_anti" if exclude else "left_semi", repeated=True).select(*records.columns)
 
 
 def at_targets(records: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import basemods, stats
 from helixframe.operators import intervals, pileup, synced
@@ -115,6 +116,23 @@ def test_overlap_modes(spark):
     assert found(synced.RECORD, (50, 60), exclude=True) == every
 
 
+def test_records_of_few_bins_are_spread(spark):
+    """A joined task holds a share of the records, though all lie within one bin."""
+    records = spark.range(20_000).selectExpr("'c' AS chrom", "id % 1000 AS pos", "'A' AS ref", "array('C') AS alts")
+    regions = spark.createDataFrame([("c", 0, 500)], "chrom string, beg long, end long")
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for exclude in (False, True):
+            sizes = [x["count"] for x in synced.in_regions(records, regions, exclude=exclude).groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 10_000 and max(sizes) < 5_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_shared_rows():
     snp, indel, ref = ({"inputs": {i}, "kinds": frozenset([kind]), "alleles": {a}} for i, kind, a in ((0, "snp", "A>C"), (1, "indel", "A>AT"), (2, "ref", "A>.")))
     other = {"inputs": {1}, "kinds": frozenset(["snp"]), "alleles": {"A>G"}}
