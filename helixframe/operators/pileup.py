@@ -9,6 +9,8 @@ from ..functions import cigar
 
 #: Positions of a chromosome that one task orders.
 BLOCK_SHIFT = 20
+#: Positions of a chromosome whose alignments go to one task for the depth of each.
+DEPTH_SHIFT = 13
 
 
 def running(steps: DataFrame, shift: int = BLOCK_SHIFT) -> DataFrame:
@@ -43,9 +45,20 @@ def depth(alignments: DataFrame) -> DataFrame:
     return running(steps(alignments)).filter("total > 0").select("chrom", F.col("at").alias("beg"), F.col("next").alias("end"), F.col("total").alias("depth"))
 
 
-def position_depth(alignments: DataFrame) -> DataFrame:
-    """chrom, pos, depth for every covered position."""
-    return depth(alignments).select("chrom", F.explode(F.expr("sequence(beg, end - 1)")).alias("pos"), "depth")
+def position_depth(alignments: DataFrame, shift: int = DEPTH_SHIFT) -> DataFrame:
+    """chrom, pos, depth for every covered position.
+
+    Alignments are cut where blocks of positions end, so that a block has its
+    depths to itself: one shuffle of the alignments and one sort, no sums to carry.
+    """
+    cut = alignments.filter("end > beg AND chrom IS NOT NULL").select("chrom", "beg", "end", F.explode(F.sequence(F.shiftright("beg", shift), F.shiftright(F.col("end") - 1, shift))).alias("_block"))
+    first = F.shiftleft("_block", shift)
+    dealt = cut.select("chrom", "_block", F.greatest("beg", first).alias("beg"), F.least("end", first + (1 << shift)).alias("end")).repartition("chrom", "_block")
+    ends = F.array(F.struct(F.col("beg").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))
+    edges = dealt.select("chrom", "_block", F.explode(ends).alias("s")).groupBy("chrom", "_block", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d")).filter("d <> 0")
+    by = Window.partitionBy("chrom", "_block").orderBy("at")
+    runs = edges.select("chrom", "at", F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(by).alias("next")).filter("depth > 0")
+    return runs.select("chrom", F.explode(F.expr("sequence(at, next - 1)")).alias("pos"), "depth")
 
 
 def pileup(reads: DataFrame) -> DataFrame:

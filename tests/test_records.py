@@ -76,6 +76,21 @@ def test_depth_and_islands_cross_blocks(spark):
     assert {tuple(x) for x in intervals.compact(df.filter("chrom = 'b'"), touching=False).collect()} == {("b", 0, 3_000_000), ("b", 3_000_000, 3_000_001)}
 
 
+def test_depth_of_positions_in_one_shuffle(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), b, b + rng.randint(0, 40)) for b in (rng.randint(0, 200) for _ in range(60))] + [(None, 1, 5), ("c", 7, 8), ("d", None, 3)]
+    want = {}
+    for c, b, e in rows:
+        for x in range(b, e) if c and b is not None else ():
+            want[c, x] = want.get((c, x), 0) + 1
+    df = spark.createDataFrame(rows, "chrom string, beg long, end long")
+    for shift in (2, 3, pileup.DEPTH_SHIFT):
+        found = pileup.position_depth(df, shift)
+        assert sorted(map(tuple, found.collect())) == sorted((c, x, n) for (c, x), n in want.items())
+    plan = pileup.position_depth(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_islands_of_equal_regions(spark):
     """Regions that come several times change nothing, whatever their order."""
     rng = random.Random(2)
