@@ -38,6 +38,27 @@ def test_records():
             list(bam.records(bad))
 
 
+def test_bam_is_inflated_and_compressed_by_blocks(monkeypatch):
+    """Of a file of many blocks few are inflated before the first record comes, and a writer holds less than two uncompressed."""
+    head = bam.header_block("@HD\tVN:1.6\n", [("s1", 100)])
+    body, count = bam.encode(RECORD), 20_000
+    packer, most = bgzf.Packer(), 0
+    packer.add(head)
+    for _ in range(count):
+        packer.add(body)
+        most = max(most, sum(map(len, packer._held)))
+    raw = packer.finish()
+    assert most < 2 * bgzf.BLOCK and bgzf.decompress(raw) == head + body * count == bgzf.decompress(bgzf.compress(head + body * count))
+    seen, inflate = [], bgzf.inflate
+    monkeypatch.setattr(bgzf, "inflate", lambda m: seen.append(1) or inflate(m))
+    found = bam.records(bgzf.Content(raw))
+    assert next(found) == RECORD and len(seen) == 1
+    assert sum(r == RECORD for r in found) == count - 1 and len(seen) == len(list(bgzf.members(raw)))
+    for bad in (head[:-6], head[:10], head + body[:2]):
+        with pytest.raises(bgzf.FormatError):
+            list(bam.records(bad))
+
+
 def test_bam_files(spark, tmp_path):
     df = spark.createDataFrame([tuple(RECORD[c] for c in bam.COLUMNS)] * 5, bam.SCHEMA).repartition(2)
     bam.write_bam(df, f"{tmp_path}/b", [("s1", 100)])
