@@ -34,6 +34,16 @@ def test_records_round_trip(spark, tmp_path):
     assert sorted(map(str, (r.asDict() for r in got.collect()))) == sorted(map(str, (r.asDict() for r in df.collect())))
 
 
+def test_equal_parts_are_made_once(monkeypatch):
+    """Records that differ by their place alone are decoded once, and stay right."""
+    header = bcf.Header(HEADER)
+    made = [{**PLAIN, "pos": i, "chrom": f"c{1 + i % 2}", "format": ["GT"], "samples": [["0/1"], ["1|0"]]} for i in range(500)]
+    data = header.block() + b"".join(bcf.encode(r, header) for r in made)
+    seen, rest = [], bcf._made_rest
+    monkeypatch.setattr(bcf, "_made_rest", lambda *x: seen.append(1) or rest(*x))
+    assert list(bcf.records(data)) == made and len(seen) == 1
+
+
 def test_broken_files_are_refused():
     header = bcf.Header(HEADER)
     good = header.block() + bcf.encode(sample(random.Random(1)), header)
